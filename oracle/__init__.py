@@ -1 +1,9 @@
 """DuckDB statements the reports are checked against: plain SQL over the same parquet tables."""
+
+from __future__ import annotations
+
+
+def statements() -> dict[str, str]:
+    from oracle import corpus
+
+    return {**corpus.SQL}

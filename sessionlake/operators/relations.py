@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -28,8 +29,8 @@ class Scope:
 class Tables:
     """The stored relations by name, and the ones derived from them, built once each."""
 
-    def __init__(self, frames: dict[str, DataFrame]) -> None:
-        self.frames = frames
+    def __init__(self, frames: Mapping[str, DataFrame | Callable[[], DataFrame]]) -> None:
+        self.frames = dict(frames)
         self._derived: dict[tuple[str, str], DataFrame] = {}
 
     @classmethod
@@ -42,6 +43,8 @@ class Tables:
         )
 
     def __getitem__(self, name: str) -> DataFrame:
+        if not isinstance(self.frames[name], DataFrame):
+            self.frames[name] = self.frames[name]()
         return self.frames[name]
 
     def _once(self, kind: str, name: str, build) -> DataFrame:
@@ -59,7 +62,8 @@ class Tables:
         return self._once("corpus", name, lambda: self._without_copies(name))
 
     def rollups(self, family: str) -> DataFrame:
-        return self._once("rollups", family, lambda: rollups(self, family))
+        """One narrow row per session, kept: nearly every report reads it."""
+        return self._once("rollups", family, lambda: rollups(self, family).persist())
 
     def family(self, family: str, name: str) -> DataFrame:
         return self.live(name) if family == "live" else self.corpus(name)
@@ -98,7 +102,8 @@ class Tables:
         )
 
     def _without_copies(self, name: str) -> DataFrame:
-        return self.live(name).join(self.copies(name), ["id", "session_id"], "left_anti")
+        copies = self._once("copies", name, lambda: self.copies(name).persist())
+        return self.live(name).join(copies, ["id", "session_id"], "left_anti")
 
 
 def rollups(t: Tables, family: str) -> DataFrame:
