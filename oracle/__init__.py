@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    from oracle import corpus
+    from oracle import corpus, sheets
 
-    return {**corpus.SQL}
+    return {**corpus.SQL, **sheets.SQL}

@@ -68,13 +68,15 @@ def select_sessions(
     to discovery. It can walk past at most a whole budget of taken sessions, so each offers that
     many and its quota; the walk itself is a fold over those offers.
     """
-    pool = session_pool(t, scope, min_api_calls)
+    # One narrow row per session of the window, ranked several ways: kept rather than recomputed.
+    pool = session_pool(t, scope, min_api_calls).persist()
     users = (
         t.corpus("api_calls")
         .filter(F.col("attribution_skill").isNotNull())
         .select("session_id", F.col("attribution_skill").alias("skill"))
         .distinct()
         .join(pool.select("session_id", "started_at"), "session_id")
+        .persist()
     )
     major = users.groupBy("skill").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= skill_threshold
@@ -153,6 +155,7 @@ def select_runs(
         runs_with_spend(t)
         .join(held, "session_id", "left_semi")
         .withColumnRenamed("id", "agent_id")
+        .persist()
     )
     major = runs.groupBy("agent_type").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= min_runs

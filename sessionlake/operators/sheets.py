@@ -37,8 +37,6 @@ UNATTRIBUTED = "(unattributed)"
 TURN = [*THREAD, "turn_id"]
 CALL = [*THREAD, "api_call_id"]
 
-_unpriced = F.count_if
-
 
 def _priced(rows: DataFrame, keys: list[str], *extra: Column) -> DataFrame:
     return rows.groupBy(*keys).agg(

@@ -29,14 +29,15 @@ def running(
     order: Sequence[str],
     counts: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
+    maxes: Mapping[str, Column] | None = None,
     strict: bool = False,
 ) -> DataFrame:
-    """Adds, per row, how many earlier rows meet a condition and the latest value that is set.
+    """Adds, per row, how many earlier rows meet a condition, the latest value set, the largest.
 
-    `counts` look strictly before the row. `lasts` include the row unless `strict`. Slices must
-    follow the order: every row of one slice comes before every row of the next.
+    `counts` look strictly before the row. `lasts` and `maxes` include the row unless `strict`.
+    Slices must follow the order: every row of one slice comes before every row of the next.
     """
-    counts, lasts = dict(counts or {}), dict(lasts or {})
+    counts, lasts, maxes = dict(counts or {}), dict(lasts or {}), dict(maxes or {})
     sliced = df.withColumn("_slice", slice_by)
     spread = Window.partitionBy(*keys, "_slice").orderBy(*order)
     before = spread.rowsBetween(Window.unboundedPreceding, -1)
@@ -49,12 +50,14 @@ def running(
             for n, c in counts.items()
         ],
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_in_{n}") for n, c in lasts.items()],
+        *[F.max(c).over(upto).alias(f"_in_{n}") for n, c in maxes.items()],
     )
 
     position = F.struct(*order)
     ends = sliced.groupBy(*keys, "_slice").agg(
         *[F.count_if(c).alias(n) for n, c in counts.items()],
         *[F.max_by(c, F.when(c.isNotNull(), position)).alias(n) for n, c in lasts.items()],
+        *[F.max(c).alias(n) for n, c in maxes.items()],
     )
     across = Window.partitionBy(*keys).orderBy("_slice")
     earlier = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -65,6 +68,7 @@ def running(
             F.lag(F.lit(True)).over(across).alias("_later"),
             *[F.sum(n).over(earlier).alias(f"_from_{n}") for n in counts],
             *[F.last(n, ignorenulls=True).over(earlier).alias(f"_from_{n}") for n in lasts],
+            *[F.max(n).over(earlier).alias(f"_from_{n}") for n in maxes],
         )
         .filter(F.col("_later"))
         .drop("_later")
@@ -77,6 +81,7 @@ def running(
             for n in counts
         ],
         *[F.coalesce(f"_in_{n}", f"_from_{n}").alias(n) for n in lasts],
+        *[F.greatest(f"_in_{n}", f"_from_{n}").alias(n) for n in maxes],
     )
 
 
