@@ -78,10 +78,13 @@ def numbers(t: Tables, kind: str) -> DataFrame:
         parts = F.lit(0.0)
         for member in members:
             parts = parts + F.col(f"split.{member}")
-        return F.round(F.sum(parts), 6)
+        return F.round(F.sum(parts), 9)
 
     whole = by_model.groupBy("session_id", "key").agg(
         F.max_by("tip", "tip_at").alias("tip"),
+        F.max_by(
+            "tip.window_tokens", F.when(F.col("tip.window_tokens").isNotNull(), F.col("tip_at"))
+        ).alias("window_tokens"),
         money(F.sum("cost_usd")).alias("cost_usd"),
         F.sum("unpriced_api_calls").alias("unpriced_api_calls"),
         F.sum("api_calls").alias("api_calls"),
@@ -105,9 +108,9 @@ def numbers(t: Tables, kind: str) -> DataFrame:
         rows = rows.join(grown, ["session_id", "key"], "left")
         added = F.col("grown")
     return rows.select(
-        "session_id", "key", F.col("tip.model").alias("model"),
+        "session_id", "key", F.col("tip.model").alias("model"), "window_tokens",
         *[F.col(f"tip.{c}").alias(c) for c in (
-            "window_tokens", "cache_read_tokens", "new_input_tokens", "output_tokens", "fill",
+            "cache_read_tokens", "new_input_tokens", "output_tokens", "fill",
         )],
         added.alias("added"), "cost_usd",
         F.coalesce("under_usd", F.lit(0.0)).alias("subtree_usd"), "session_usd",

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sessionlake import schema
 from sessionlake.functions.text import under_path
 from sessionlake.functions.times import millis_between, within_days
+from sessionlake.session import keep
 
 WINDOW_DAYS = 28
 
@@ -63,7 +64,9 @@ class Tables:
 
     def rollups(self, family: str) -> DataFrame:
         """One narrow row per session, kept: nearly every report reads it."""
-        return self._once("rollups", family, lambda: rollups(self, family).persist())
+        return self._once(
+            "rollups", family, lambda: keep(rollups(self, family), f"{family}_rollups")
+        )
 
     def family(self, family: str, name: str) -> DataFrame:
         return self.live(name) if family == "live" else self.corpus(name)
@@ -102,7 +105,7 @@ class Tables:
         )
 
     def _without_copies(self, name: str) -> DataFrame:
-        copies = self._once("copies", name, lambda: self.copies(name).persist())
+        copies = self._once("copies", name, lambda: keep(self.copies(name), f"copies_{name}"))
         return self.live(name).join(copies, ["id", "session_id"], "left_anti")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from sessionlake.operators.corpus import money, runs_with_spend
 from sessionlake.operators.relations import Scope, Tables, by_period, project_sessions
 from sessionlake.schema import MAIN
+from sessionlake.session import keep
 
 DRAW_SEED = "1"
 
@@ -69,14 +70,14 @@ def select_sessions(
     many and its quota; the walk itself is a fold over those offers.
     """
     # One narrow row per session of the window, ranked several ways: kept rather than recomputed.
-    pool = session_pool(t, scope, min_api_calls).persist()
-    users = (
+    pool = keep(session_pool(t, scope, min_api_calls), "session_pool")
+    users = keep(
         t.corpus("api_calls")
         .filter(F.col("attribution_skill").isNotNull())
         .select("session_id", F.col("attribution_skill").alias("skill"))
         .distinct()
-        .join(pool.select("session_id", "started_at"), "session_id")
-        .persist()
+        .join(pool.select("session_id", "started_at"), "session_id"),
+        "skill_users",
     )
     major = users.groupBy("skill").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= skill_threshold
@@ -151,11 +152,11 @@ def select_runs(
 ) -> DataFrame:
     """Per commonly used agent type: its runs with most errors, then its costliest others."""
     held = project_sessions(t, scope).filter("in_window").select("session_id")
-    runs = (
+    runs = keep(
         runs_with_spend(t)
         .join(held, "session_id", "left_semi")
-        .withColumnRenamed("id", "agent_id")
-        .persist()
+        .withColumnRenamed("id", "agent_id"),
+        "window_runs",
     )
     major = runs.groupBy("agent_type").agg(F.count(F.lit(1)).alias("n")).filter(
         F.col("n") >= min_runs

@@ -267,8 +267,16 @@ def context_tips(t: Tables, keys: list[str], position: str = "index") -> DataFra
         *keys, position, context_fill().alias("fill"), context_added().alias("added"),
         context_window(F.col("model")).alias("window"),
     )
-    last = F.max_by(F.struct("fill", "added", "window"), position)
-    return answered.groupBy(*keys).agg(last.alias("tip"))
+    # The window is the last one known: a model without one leaves the scale as it stood.
+    known = F.when(F.col("window").isNotNull(), F.col(position))
+    return (
+        answered.groupBy(*keys)
+        .agg(
+            F.max_by("fill", position).alias("fill"), F.max_by("added", position).alias("added"),
+            F.max_by("window", known).alias("window"),
+        )
+        .select(*keys, F.struct("fill", "added", "window").alias("tip"))
+    )
 
 
 def session_header(
@@ -353,12 +361,33 @@ def call_tools_tally(t: Tables, chars: int) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.min("index").alias("at"),
         F.min_by(F.struct("name", "fields"), "index").alias("tool"),
     )
-    ordered = F.sort_array(F.collect_list(F.struct("at", "name", "n")))
-    return names.groupBy(*CALL).agg(
+    # Where a name comes up again, which is its place once the call's first tool is set aside.
+    order = Window.partitionBy(*CALL, "name").orderBy("again")
+    again = (
+        t.live("tool_calls").select(*CALL, "name", F.col("index").alias("again"))
+        .withColumn("_nth", F.row_number().over(order))
+        .filter(F.col("_nth") == 2)
+        .drop("_nth")
+    )
+    ordered = F.sort_array(F.collect_list(F.struct("at", "name", "n", "again")))
+    held = names.join(again, [*CALL, "name"], "left").groupBy(*CALL).agg(
         F.sum("n").alias("tool_calls"), F.min_by("tool", "at").alias("first"),
-        F.transform(
-            ordered, lambda k: F.struct(k["name"].alias("name"), k["n"].alias("n"))
-        ).alias("tally"),
+        ordered.alias("_held"),
+    )
+    others = F.transform(
+        "_held",
+        lambda k, i: F.struct(
+            F.when(i == 0, k["again"]).otherwise(k["at"]).alias("at"), k["name"].alias("name"),
+            (k["n"] - F.when(i == 0, 1).otherwise(0)).alias("n"),
+        ),
+    )
+
+    def named(held: Column) -> Column:
+        return F.transform(held, lambda k: F.struct(k["name"].alias("name"), k["n"].alias("n")))
+
+    return held.select(
+        *CALL, "tool_calls", "first", named(F.col("_held")).alias("tally"),
+        named(F.sort_array(F.filter(others, lambda k: k["n"] > 0))).alias("rest"),
     )
 
 

@@ -83,10 +83,10 @@ def ancestors(edges: DataFrame, keys: list[str], node: str, above: str) -> DataF
     reach = cut_lineage(edges.select(*keys, node, above).distinct())
     count = reach.count()
     while count:
-        further = reach.select(*keys, F.col(node).alias("_mid"), F.col(above).alias("_top"))
-        longer = reach.join(
-            further, [F.col(above) == F.col("_mid"), *[reach[k] == further[k] for k in keys]]
-        ).select(*[reach[k] for k in keys], reach[node], F.col("_top").alias(above))
+        further = reach.select(*keys, F.col(node).alias(above), F.col(above).alias("_top"))
+        longer = reach.join(further, [*keys, above]).select(
+            *keys, node, F.col("_top").alias(above)
+        )
         reach = cut_lineage(reach.unionByName(longer).distinct())
         grown = reach.count()
         if grown == count:
@@ -267,7 +267,7 @@ def numbered(level: DataFrame) -> DataFrame:
     hour = F.coalesce(F.date_trunc("hour", "ord.at"), F.timestamp_micros(F.lit(0)))
     return running(
         level, ["session_id", "parent"],
-        F.struct("ord.grp", hour, F.col("ord.mark") * 0, block_of(F.col("ord.nth"))),
+        F.struct("ord.grp", hour),
         ["ord"], counts={"place": F.lit(True)},
     )
 
@@ -377,10 +377,6 @@ UNATTRIBUTED_TITLE = "calls under no turn of this thread"
 UNATTACHED_TITLE = "runs attached to no turn"
 
 
-def _tool_title(name: Column, fields: Column) -> Column:
-    return tool_words(name, fields)
-
-
 def titles(t: Tables, chars: int = 100) -> DataFrame:
     """(session_id, key, title): what each node is called."""
     said = t["session_enrichments"].select("session_id", "description")
@@ -422,19 +418,9 @@ def titles(t: Tables, chars: int = 100) -> DataFrame:
     )
     tally = call_tools_tally(t, chars)
     first = F.col("first")
-    # The call's first tool is in its title already; the tally says what else it made.
     rest = F.array_join(
         F.transform(
-            F.filter(
-                F.transform(
-                    "tally",
-                    lambda k, i: F.struct(
-                        k["name"].alias("name"),
-                        (k["n"] - F.when(i == 0, 1).otherwise(0)).alias("n"),
-                    ),
-                ),
-                lambda k: k["n"] > 0,
-            ),
+            F.col("rest"),
             lambda k: F.concat(F.lit(" +"), k["n"], F.lit("("), k["name"], F.lit(")")),
         ),
         "",
@@ -446,14 +432,14 @@ def titles(t: Tables, chars: int = 100) -> DataFrame:
             F.when(F.col("text") != "", F.col("text"))
             .when(
                 first.isNotNull(),
-                F.concat(_tool_title(first["name"], first["fields"]), rest),
+                F.concat(tool_words(first["name"], first["fields"]), rest),
             )
             .otherwise(F.col("model")).alias("title"),
         )
     )
     tools = named_tools(t, chars).select(
         "session_id", key_of("tool", source, ident).alias("key"),
-        _tool_title(F.col("name"), F.col("fields")).alias("title"),
+        tool_words(F.col("name"), F.col("fields")).alias("title"),
     )
     marks = t.live("compactions").select(
         "session_id", key_of("compaction", source, ident).alias("key"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,14 +31,30 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; local scratch only in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    if context.getCheckpointDir():
+        return context.getCheckpointDir()
+    return tempfile.mkdtemp(prefix="sessionlake-")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder the cluster names; local scratch only when none is set."""
+    """A reliable checkpoint: an executor lost later costs a read, not the steps before."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="sessionlake-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def keep(df: DataFrame, label: str) -> DataFrame:
+    """A relation many reports read, written once as a columnar table and read from there."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/kept/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

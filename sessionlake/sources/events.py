@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from sessionlake.functions.pricing import SYNTHETIC
 from sessionlake.operators.relations import Tables
 from sessionlake.operators.windows import THREAD, running
 from sessionlake.schema import MAIN
+from sessionlake.session import keep
 
 
 def _pick(index: Column, *values: str | None) -> Column:
@@ -148,7 +148,7 @@ def _input() -> Column:
 @lru_cache(maxsize=8)
 def telemetry(spark: SparkSession, folder: str) -> Tables:
     # Stands in for the stored archive: placed once per session, read by every relation below.
-    rows = threads(spark, folder).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = keep(threads(spark, folder), "event_threads")
     event, k, user, ts = (F.col(c) for c in ("event_id", "k", "user_id", "ts"))
     thread = ["session_id", "source"]
 
