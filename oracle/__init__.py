@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    from oracle import corpus, sheets, tree
+    from oracle import corpus, ingest, sheets, tree
 
-    return {**corpus.SQL, **sheets.SQL, **tree.SQL}
+    return {**corpus.SQL, **sheets.SQL, **tree.SQL, **ingest.SQL}
