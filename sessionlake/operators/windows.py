@@ -30,14 +30,17 @@ def running(
     counts: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     maxes: Mapping[str, Column] | None = None,
+    sums: Mapping[str, Column] | None = None,
     strict: bool = False,
 ) -> DataFrame:
-    """Adds, per row, how many earlier rows meet a condition, the latest value set, the largest.
+    """Adds, per row, how many earlier rows meet a condition, their sum, the latest and the largest.
 
-    `counts` look strictly before the row. `lasts` and `maxes` include the row unless `strict`.
+    `counts` and `sums` look strictly before the row. `lasts` and `maxes` include the row unless `strict`.
     Slices must follow the order: every row of one slice comes before every row of the next.
     """
-    counts, lasts, maxes = dict(counts or {}), dict(lasts or {}), dict(maxes or {})
+    lasts, maxes = dict(lasts or {}), dict(maxes or {})
+    added = {n: c.cast("long") for n, c in {**(counts or {}), **(sums or {})}.items()}
+    kinds = {**{n: "int" for n in counts or {}}, **{n: "long" for n in sums or {}}}
     sliced = df.withColumn("_slice", slice_by)
     spread = Window.partitionBy(*keys, "_slice").orderBy(*order)
     before = spread.rowsBetween(Window.unboundedPreceding, -1)
@@ -46,8 +49,8 @@ def running(
     local = sliced.select(
         "*",
         *[
-            F.coalesce(F.sum(c.cast("int")).over(before), F.lit(0)).alias(f"_in_{n}")
-            for n, c in counts.items()
+            F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_in_{n}")
+            for n, c in added.items()
         ],
         *[F.last(c, ignorenulls=True).over(upto).alias(f"_in_{n}") for n, c in lasts.items()],
         *[F.max(c).over(upto).alias(f"_in_{n}") for n, c in maxes.items()],
@@ -55,7 +58,7 @@ def running(
 
     position = F.struct(*order)
     ends = sliced.groupBy(*keys, "_slice").agg(
-        *[F.count_if(c).alias(n) for n, c in counts.items()],
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in added.items()],
         *[F.max_by(c, F.when(c.isNotNull(), position)).alias(n) for n, c in lasts.items()],
         *[F.max(c).alias(n) for n, c in maxes.items()],
     )
@@ -66,7 +69,7 @@ def running(
             *keys,
             "_slice",
             F.lag(F.lit(True)).over(across).alias("_later"),
-            *[F.sum(n).over(earlier).alias(f"_from_{n}") for n in counts],
+            *[F.sum(n).over(earlier).alias(f"_from_{n}") for n in added],
             *[F.last(n, ignorenulls=True).over(earlier).alias(f"_from_{n}") for n in lasts],
             *[F.max(n).over(earlier).alias(f"_from_{n}") for n in maxes],
         )
@@ -77,8 +80,8 @@ def running(
     return joined.select(
         *df.columns,
         *[
-            (F.col(f"_in_{n}") + F.coalesce(F.col(f"_from_{n}"), F.lit(0))).cast("int").alias(n)
-            for n in counts
+            (F.col(f"_in_{n}") + F.coalesce(F.col(f"_from_{n}"), F.lit(0))).cast(kind).alias(n)
+            for n, kind in kinds.items()
         ],
         *[F.coalesce(f"_in_{n}", f"_from_{n}").alias(n) for n in lasts],
         *[F.greatest(f"_in_{n}", f"_from_{n}").alias(n) for n in maxes],
