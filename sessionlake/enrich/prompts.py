@@ -84,7 +84,7 @@ def rendered(draft: Draft, budget: int) -> DataFrame:
     keys = draft.keys
     cost = (F.length("line") + 1).cast("long")
     placed = running(
-        draft.lines, keys, F.col("at.o0"), ["at", "i"],
+        draft.lines, keys, F.struct("at.o0", "at.o1", F.floor(F.col("at.o2") / 256)), ["at", "i"],
         counts={"nth": F.lit(True)}, sums={"ahead": cost},
     )
     totals = draft.lines.groupBy(*keys).agg(
