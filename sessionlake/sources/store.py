@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlake import schema
 from sessionlake.ingest.pipeline import extract, unknown_fields, unknown_kinds
@@ -70,14 +71,17 @@ class Store:
         if not versions:
             return empty
         base = f"{self.root}/tables/{name}"
+        placed = T.StructType(
+            [*shape.fields, T.StructField("version", T.StringType()),
+             T.StructField("bucket", T.IntegerType())]
+        )
         rows = (
             self.spark.read.option("basePath", base)
-            .schema(shape.add("version", "string").add("bucket", "int"))
+            .schema(placed)
             .parquet(*[f"{base}/version={v}" for v in versions])
         )
         live = current.select("version", "bucket")
-        return rows.join(live, ["version", "bucket"], "left_semi").select(*shape.names[: len(
-            schema.ALL_TABLES[name].names)]).drop("version", "bucket")
+        return rows.join(live, ["version", "bucket"], "left_semi").select(*shape.names)
 
     def tables(self) -> Tables:
         return Tables({n: (lambda n=n: self.table(n)) for n in schema.ALL_TABLES})
@@ -111,9 +115,10 @@ class Store:
                 .write.partitionBy("bucket").mode("errorifexists")
                 .parquet(f"{self.root}/tables/{name}/version={version}")
             )
-        changed = self.spark.createDataFrame([(n,) for n in tables], "relation string").join(
-            touched, how="cross"
-        ).withColumn("version", F.lit(version))
+        changed = touched.select(
+            F.explode(F.array(*[F.lit(n) for n in tables])).alias("relation"), "bucket",
+            F.lit(version).alias("version"),
+        )
         seq = 1
         if before is not None:
             kept = before.join(changed, ["relation", "bucket"], "left_anti")
@@ -127,7 +132,7 @@ class Store:
 def bucket_salt(name: str) -> Column:
     """Spreads one bucket's rows of a fat relation over several tasks, so a huge session is split."""
     ways = 16 if name in ("raw_records", "tool_calls", "api_calls") else 1
-    return F.pmod(F.monotonically_increasing_id(), F.lit(ways))
+    return F.pmod(F.xxhash64(*schema.KEYS[name]), F.lit(ways))
 
 
 @dataclass
@@ -176,9 +181,10 @@ def refresh(store: Store, root: str, tags: dict[str, str] | None = None) -> Refr
         name: _only(rows, name, good) for name, rows in out.tables.items()
     }
     tables["offload_files"] = _only(found.offloads, "offload_files", good)
-    pairs = [(k, v) for k, v in (tags or {}).items()]
-    named = spark.createDataFrame(pairs, "key string, value string")
-    tables["session_tags"] = good.select("session_id").join(F.broadcast(named), how="cross")
+    named = F.create_map(*[F.lit(x) for pair in (tags or {}).items() for x in pair])
+    tables["session_tags"] = good.select(
+        "session_id", F.explode(named.cast("map<string,string>")).alias("key", "value")
+    )
     tables["extract_state"] = good.select(
         "session_id", "fingerprint", "transcript_path",
         F.current_timestamp().alias("extracted_at"), F.lit(EXTRACTOR).alias("extractor"),
@@ -222,20 +228,24 @@ MIGRATIONS: dict[int, tuple[str, str]] = {
 }
 
 
-def migrated(df: DataFrame, table: str, held_version: int, siblings: Tables | None = None) -> DataFrame:
+def migrated(df: DataFrame, table: str, held_version: int, runs: DataFrame | None = None) -> DataFrame:
     """A stored relation of an older version in today's columns."""
     if held_version > SCHEMA_VERSION:
         raise ValueError(f"store version {held_version} is newer than {SCHEMA_VERSION}")
     if table == "agent_runs" and held_version < 8 and "description" in df.columns:
         df = df.withColumnRenamed("description", "brief")
     if table == "compactions" and held_version < 9 and "replayed" not in df.columns:
-        # A copy is a uuid another thread of the session recorded first.
-        first = df.groupBy("session_id", "id").agg(
-            F.min(F.struct((F.col("source") != schema.MAIN).alias("run"), "source")).alias("own")
+        # What a fork holds from before its own first record came with the history it copied.
+        if runs is None:
+            raise ValueError("compactions before version 9 need the runs of their store")
+        forks = runs.filter("is_fork").select(
+            "session_id", F.col("id").alias("source"), F.lit(True).alias("_fork"),
+            F.col("started_at").alias("_start"),
+        )
+        early = F.col("_start").isNull() | (F.col("timestamp") <= F.col("_start"))
+        df = df.join(forks, ["session_id", "source"], "left").withColumn(
+            "replayed", F.coalesce(F.col("_fork") & early, F.lit(False))
         )
-        df = df.join(first, ["session_id", "id"]).withColumn(
-            "replayed", F.col("source") != F.col("own.source")
-        ).drop("own")
     for f in schema.ALL_TABLES[table].fields:
         if f.name not in df.columns:
             df = df.withColumn(f.name, F.lit(None).cast(f.dataType))
