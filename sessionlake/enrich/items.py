@@ -272,7 +272,8 @@ def _thread_lines(t: Tables, section: DataFrame, keys: list[str], b: Budgets) ->
     def within(rows: DataFrame) -> DataFrame:
         left, right = rows.alias("r"), section.alias("s")
         on = [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in same]
-        return left.join(right, on).select("r.*", *[f"s.{k}" for k in keys if k not in THREAD], "s.place")
+        own = [f"r.{c}" for c in rows.columns if c not in keys]
+        return left.join(right, on).select(*[f"s.{k}" for k in keys], *own, "s.place")
 
     zero = F.lit(0)
     heard = within(

@@ -7,6 +7,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sessionlake.enrich.items import (
     Budgets,
@@ -62,7 +63,7 @@ def fitted(head: str, first: list[str], last: list[str], total: int, budget: int
     return "\n".join([head, *first[: taken[True]], elision(gone, total), *ends])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fit(
     head: pd.Series, first: pd.Series, last: pd.Series, total: pd.Series, budget: pd.Series
 ) -> pd.Series:
