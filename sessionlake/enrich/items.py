@@ -14,6 +14,7 @@ from sessionlake.operators.sheets import TURN, last_lines, spawn_edges
 from sessionlake.operators.tree import ancestors
 from sessionlake.operators.windows import THREAD
 from sessionlake.schema import MAIN
+from sessionlake.session import keep
 
 
 def item_key(level: str, *parts: Column) -> Column:
@@ -288,7 +289,8 @@ def _thread_lines(t: Tables, section: DataFrame, keys: list[str], b: Budgets) ->
         heard, keys, [F.col("place"), F.lit(1), F.col("line_no"), zero],
         F.array(F.lit(""), F.try_element_at(header, F.col("sender")), words),
     )
-    calls = _local_calls(t, section)
+    # Read three ways below, so placed once.
+    calls = keep(_local_calls(t, section), "section_calls")
     in_section = within(calls)
     text = cap(strip(F.col("text")), b.text)
     responses = _line_rows(
@@ -446,7 +448,7 @@ def session_draft(t: Tables) -> Draft:
         F.lit(" in, "), _thousands(F.col("output_tokens")), F.lit(" out, "),
         _thousands(F.col("cache_read_tokens")), F.lit(" cache read, "),
         _thousands(F.col("cache_creation_tokens")), F.lit(" cache write\ncost $"),
-        F.format_string("%.2f", F.col("cost_usd")), F.lit("\n\n## Work"),
+        F.format_string("%.2f", F.bround("cost_usd", 2)), F.lit("\n\n## Work"),
     )
     said = ("description", "category", "outcome")
     turns = t.live("turns").filter(F.col("source") == MAIN).select(

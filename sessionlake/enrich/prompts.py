@@ -25,6 +25,7 @@ from sessionlake.functions.text import holds_secret
 from sessionlake.operators.relations import Tables, describable_sessions
 from sessionlake.operators.windows import running
 from sessionlake.schema import CATEGORIES, MAIN, OUTCOMES
+from sessionlake.session import keep
 
 # What this build writes rows under.
 PROMPT_VERSION = {"turn": 4, "agent_run": 4, "session": 4}
@@ -83,12 +84,13 @@ def rendered(draft: Draft, budget: int) -> DataFrame:
     bounded text, and where everything fits the whole is what is gathered.
     """
     keys = draft.keys
+    lines = keep(draft.lines, "prompt_lines")
     cost = (F.length("line") + 1).cast("long")
     placed = running(
-        draft.lines, keys, F.struct("at.o0", "at.o1", F.floor(F.col("at.o2") / 256)), ["at", "i"],
+        lines, keys, F.struct("at.o0", "at.o1", F.floor(F.col("at.o2") / 256)), ["at", "i"],
         counts={"nth": F.lit(True)}, sums={"ahead": cost},
     )
-    totals = draft.lines.groupBy(*keys).agg(
+    totals = lines.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"), F.sum(cost).alias("size")
     )
     near = placed.join(totals, keys).withColumn(
@@ -196,10 +198,13 @@ def plan(
     Runs go leaves first, then turns, then sessions. What embeds a failed item waits.
     """
     every = stamped(
-        reduce(DataFrame.unionByName, [prompts(t, lv) for lv in ("agent_run", "turn", "session")]),
+        reduce(
+            DataFrame.unionByName,
+            [keep(prompts(t, lv), f"{lv}_prompts") for lv in ("agent_run", "turn", "session")],
+        ),
         model,
     )
-    moved = stale(t, every).select("session_id", "key")
+    moved = keep(stale(t, every).select("session_id", "key"), "stale_items")
     up = item_ancestors(t)
     restated = up.join(moved, ["session_id", "key"], "left_semi").select(
         "session_id", F.col("parent").alias("key")
@@ -210,7 +215,7 @@ def plan(
             "session_id", F.col("parent").alias("key")
         )
         asked = asked.join(above, ["session_id", "key"], "left_anti")
-    heights, _ = rounds(t)
+    heights = keep(rounds(t)[0], "run_rounds")
     turns_after = F.create_map(F.lit("turn"), F.lit(1_000), F.lit("session"), F.lit(1_001))
     placed = heights.select(
         "session_id", item_key("agent_run", F.col("session_id"), F.col("run_id")).alias("key"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,42 +24,39 @@ def _decoded(path: Column) -> Column:
 
 
 def _classified(files: DataFrame, root: str) -> DataFrame:
-    """Each file with its project folder, session, and what reads it."""
-    under = F.substr(F.col("file"), F.lit(len(root.rstrip("/")) + 2))
-    project = F.split_part(under, F.lit("/"), F.lit(1))
-    rest = F.substr(under, F.length(project) + 2)
-    main = rest.rlike(r"^[^/]+\.jsonl$")
-    session = F.when(main, F.regexp_replace(rest, r"\.jsonl$", "")).otherwise(
-        F.split_part(rest, F.lit("/"), F.lit(1))
-    )
-    inner = F.when(~main, F.substr(rest, F.length(session) + 2))
-    agent = r"^subagents/(?:workflows/(wf_[^/]+)/)?agent-([^/]+?)(\.meta\.json|\.jsonl)$"
-    journal = r"^subagents/workflows/(wf_[^/]+)/journal\.jsonl$"
-    suffix = F.regexp_extract(inner, agent, 3)
+    """Each file with its project folder, session, and what reads it.
+
+    Every column is one pattern over the path, so none is built out of another.
+    """
+    top = "^" + re.escape(root.rstrip("/")) + "/([^/]+)/([^/]+?)"
+    below = top + "/subagents/(?:workflows/(wf_[^/]+)/)?"
+    agent, meta = below + r"agent-([^/]+?)\.jsonl$", below + r"agent-([^/]+?)\.meta\.json$"
+    journal = top + r"/subagents/workflows/(wf_[^/]+)/journal\.jsonl$"
+    file = F.col("file")
     role = (
-        F.when(main, "main")
-        .when(suffix == ".meta.json", "meta")
-        .when(suffix == ".jsonl", "agent")
-        .when(inner.rlike(journal), "journal")
-        .when(inner.rlike(r"^tool-results/[^/]+$"), "offload")
-        .when(inner.rlike(r"^workflows/"), "ignored")
-        .when(inner.isin("custom-title.json", "auto-mode-classifier-error.txt"), "ignored")
+        F.when(file.rlike(top + r"\.jsonl$"), "main")
+        .when(file.rlike(meta), "meta")
+        .when(file.rlike(agent), "agent")
+        .when(file.rlike(journal), "journal")
+        .when(file.rlike(top + "/tool-results/[^/]+$"), "offload")
+        .when(file.rlike(top + r"/(workflows/.*|custom-title\.json|auto-mode-classifier-error\.txt)$"),
+              "ignored")
         .otherwise("unknown")
     )
-    workflow = F.when(
-        role == "journal", F.regexp_extract(inner, journal, 1)
-    ).otherwise(F.regexp_extract(inner, agent, 1))
-    source = (
-        F.when(role == "main", F.lit(MAIN))
-        .when(role.isin("agent", "meta"), F.regexp_extract(inner, agent, 2))
-        .when(role == "journal", F.concat(workflow, F.lit("/journal")))
-    )
-    return files.withColumns(
-        {
-            "project_folder": project, "session_id": session, "role": role, "source": source,
-            "workflow_id": F.nullif(workflow, F.lit("")),
-            "name": F.element_at(F.split(F.col("file"), "/", -1), -1),
-        }
+
+    def found(pattern: str, group: int) -> Column:
+        return F.nullif(F.regexp_extract(file, pattern, group), F.lit(""))
+
+    either = below + r"agent-([^/]+?)(?:\.meta\.json|\.jsonl)$"
+    return files.select(
+        "*",
+        found(top + r"(?:\.jsonl$|/)", 1).alias("project_folder"),
+        found(top + r"(?:\.jsonl$|/)", 2).alias("session_id"), role.alias("role"),
+        F.when(file.rlike(top + r"\.jsonl$"), F.lit(MAIN)).otherwise(
+            F.coalesce(found(either, 4), F.concat(found(journal, 3), F.lit("/journal")))
+        ).alias("source"),
+        F.coalesce(found(either, 3), found(journal, 3)).alias("workflow_id"),
+        F.element_at(F.split(file, "/", -1), -1).alias("name"),
     )
 
 
