@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -68,6 +69,13 @@ class Tables:
             "rollups", family, lambda: keep(rollups(self, family), f"{family}_rollups")
         )
 
+    def prepare(self, names: list[str]) -> None:
+        """Finds the copies of several relations at once; the searches do not wait on each other."""
+        for name in names:
+            _ = self[name]
+        with ThreadPoolExecutor(max_workers=len(names)) as pool:
+            list(pool.map(self.corpus, names))
+
     def family(self, family: str, name: str) -> DataFrame:
         return self.live(name) if family == "live" else self.corpus(name)
 
@@ -126,6 +134,8 @@ def rollups(t: Tables, family: str) -> DataFrame:
             F.count_if(F.col("cost_usd").isNull()).alias("unpriced_api_calls"),
         )
     )
+    if family == "corpus":
+        t.prepare(["turns", "api_calls", "tool_calls", "agent_runs", "compactions"])
     wide = t["sessions"].select(
         F.col("id").alias("session_id"),
         "project_dir",
