@@ -233,10 +233,45 @@ SQL["index_gaps"] = T(
         for n in ("turns", "api_calls", "tool_calls")
     )
 )
+_KEYS = {
+    "sessions": "id", "turns": "session_id, source, id", "api_calls": "session_id, source, id",
+    "tool_calls": "session_id, source, id", "agent_runs": "session_id, id", "compactions": "session_id, source, id",
+    "interjections": "session_id, source, id", "pr_links": "session_id, line_no", "offload_files": "session_id, name",
+    "raw_records": "session_id, source, line_no", "session_tags": "session_id, key", "extract_state": "session_id",
+    "turn_enrichments": "session_id, source, turn_id", "agent_run_enrichments": "session_id, agent_run_id",
+    "session_enrichments": "session_id", "span_delivery": "session_id, backend",
+}
+SQL["duplicate_keys"] = T(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS relation, concat_ws(' ', {k}) AS key, count(*) AS n FROM {n} GROUP BY {k} HAVING count(*) > 1"
+        for n, k in _KEYS.items()
+    )
+)
+_WORDS = "('implement', 'debug', 'test', 'chat', 'other')"
+SQL["foreign_words"] = T(
+    "SELECT 'interjections' AS relation, 'sender' AS \"column\", sender AS word, count(*) AS n FROM interjections "
+    "WHERE sender NOT IN ('person', 'agent', 'task') GROUP BY sender UNION ALL "
+    f"SELECT 'turn_enrichments', 'category', category, count(*) FROM turn_enrichments WHERE category NOT IN {_WORDS} GROUP BY category"
+)
+SQL["ambiguous_span_keys"] = T(
+    "SELECT session_id, 'delimiter in an id' AS rule, concat_ws(' ', session_id, source, id) AS detail FROM live_turns WHERE contains(source, '/')"
+)
+SQL["untraceable_sessions"] = T(
+    """SELECT id AS session_id, 'session without times' AS rule, id AS detail FROM sessions WHERE started_at IS NULL OR ended_at IS NULL
+UNION ALL SELECT id, 'session without project', id FROM sessions WHERE project_dir IS NULL
+UNION ALL SELECT session_id, 'run without times', id FROM live_agent_runs WHERE started_at IS NULL OR ended_at IS NULL"""
+)
 _SECRET = "|".join(
     (r"sk-[A-Za-z0-9_\-]{16,}", r"AKIA[0-9A-Z]{16}", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"gh[pousr]_[A-Za-z0-9]{20,}",
      r"github_pat_[A-Za-z0-9_]{20,}", r"xox[abprs]-[A-Za-z0-9-]{10,}", r"AIza[0-9A-Za-z_\-]{35}")
 )
+SQL["stored_secrets"] = T(
+    " UNION ALL ".join(
+        f"SELECT '{n}' AS relation, '{c}' AS \"column\", session_id, source, id FROM live_{n} WHERE regexp_matches({c}, '{_SECRET}')"
+        for n, c in (("turns", "prompt"), ("api_calls", "text"), ("api_calls", "thinking"), ("tool_calls", "input"),
+                     ("tool_calls", "result"), ("interjections", "text"))
+    )
+)
 SQL["document_secrets"] = f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_SECRET}')"
 
 # Functions over whole texts and paths.

@@ -54,13 +54,13 @@ def project_rollups(
         F.max("started_at").alias("last_active"),
     )
     page = grouped.orderBy(F.col("last_active").desc_nulls_last(), "root").limit(projects)
-    matched = grouped.agg(F.count(F.lit(1)).alias("matched_rows"))
+    matched = grouped.agg(F.count(F.lit(1))).scalar()
     root = F.col("root")
-    return page.crossJoin(F.broadcast(matched)).select(
+    return page.select(
         cut(root, head_chars).alias("project_dir"),
         F.when(F.length(root) <= head_chars, root).alias("project_filter"),
         *[c for c in grouped.columns if c != "root"],
-        "matched_rows",
+        matched.alias("matched_rows"),
     )
 
 

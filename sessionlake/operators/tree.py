@@ -267,7 +267,10 @@ def numbered(level: DataFrame) -> DataFrame:
     hour = F.coalesce(F.date_trunc("hour", "ord.at"), F.timestamp_micros(F.lit(0)))
     return running(
         level, ["session_id", "parent"],
-        F.struct("ord.grp", hour),
+        F.struct(
+            "ord.grp", hour,
+            F.when(F.col("ord.at").isNull(), block_of(F.col("ord.nth"))).otherwise(F.lit(0)),
+        ),
         ["ord"], counts={"place": F.lit(True)},
     )
 

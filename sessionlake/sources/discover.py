@@ -103,11 +103,15 @@ def fingerprints(files: DataFrame, extractor_version: str) -> DataFrame:
         "\u0000", F.col("file"), F.col("length").cast("string"),
         F.unix_micros("modificationTime").cast("string"),
     )
-    # Each file is digested first, so what is gathered per session is short.
-    digests = F.sort_array(F.collect_list(F.sha2(entry, 256)))
+    # Sums that do not depend on order, so no session's files are gathered anywhere.
+    mark = F.xxhash64(entry)
+    again = F.xxhash64(F.lit("again"), entry)
+    state = F.concat_ws(
+        " ", F.lit(extractor_version), F.count(F.lit(1)), F.bit_xor(mark), F.bit_xor(again),
+        F.sum(mark.cast("decimal(38,0)")),
+    )
     return files.groupBy("session_id").agg(
-        F.sha2(F.concat(F.lit(extractor_version), F.array_join(digests, "")), 256)
-        .alias("fingerprint"),
+        F.sha2(state, 256).alias("fingerprint"),
         F.max(F.when(F.col("role") == "main", F.col("file"))).alias("transcript_path"),
     )
 

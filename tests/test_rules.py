@@ -121,3 +121,18 @@ def test_streamed_windows_and_bursts_run(spark, telemetry, tmp_path):
         )
         query.awaitTermination(120)
         assert spark.table(f"seen_{n}").count() > 0
+
+
+def test_spans_are_sent_once(spark, telemetry, tmp_path):
+    from sessionlake.operators.relations import Tables
+    from sessionlake.spans.delivery import census, send, undelivered
+
+    folder = str(tmp_path / "sent")
+    due = undelivered(telemetry, "other").count()
+    ledger = send(telemetry, "other", folder).select(telemetry["span_delivery"].columns)
+    rows = ledger.collect()
+    told = census(telemetry, "other").first()
+    assert told.sessions == len(rows) and told.spans == sum(r.spans_sent for r in rows)
+    assert spark.read.parquet(folder).count() == told.spans
+    after = Tables({**telemetry.frames, "span_delivery": ledger})
+    assert undelivered(after, "other").count() == due - len(rows)
