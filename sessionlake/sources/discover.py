@@ -116,7 +116,23 @@ def fingerprints(files: DataFrame, extractor_version: str) -> DataFrame:
     )
 
 
-def numbered_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
+MAX_LISTED = 50_000
+
+
+def _named(files: DataFrame, *roles: str) -> list[str] | None:
+    """The files of some roles by name where they are few; None where the root is read instead.
+
+    A refresh that found little changed reads only that; a first load reads everything anyway.
+    """
+    rows = files.filter(F.col("role").isin(*roles)).select("file").limit(MAX_LISTED + 1).collect()
+    if len(rows) > MAX_LISTED:
+        return None
+    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.file) for r in rows]
+
+
+def numbered_lines(
+    spark: SparkSession, root: str, pattern: str = "*.jsonl", named: list[str] | None = None
+) -> DataFrame:
     """(file, line_no, raw): every line with its number in its file, large files read in pieces.
 
     A file is split at newlines only and read by as many tasks as it has blocks. Lines are
@@ -126,7 +142,7 @@ def numbered_lines(spark: SparkSession, root: str, pattern: str = "*.jsonl") ->
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(root)
+        .text(root if named is None else named)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
@@ -158,25 +174,39 @@ class Recorded:
 def recorded(spark: SparkSession, root: str, sessions: DataFrame | None = None) -> Recorded:
     """Everything recorded under a root, or of the sessions named."""
     files = listing(spark, root)
-    if sessions is not None:
-        files = files.join(sessions.select("session_id"), "session_id", "left_semi")
+    few = sessions is not None
+    if few:
+        files = keep(files.join(sessions.select("session_id"), "session_id", "left_semi"), "files")
     told = files.filter(F.col("role").isin("main", "agent", "journal"))
-    lines = numbered_lines(spark, root).join(
+    lines = numbered_lines(
+        spark, root, named=_named(files, "main", "agent", "journal") if few else None
+    ).join(
         told.select("file", "session_id", "source"), "file"
     ).select("session_id", "source", "line_no", "raw")
-    metas = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.meta.json").text(root)
-        .select(_decoded(F.col("_metadata.file_path")).alias("file"),
-                F.from_json("value", META).alias("m"))
-        .join(
-            files.filter(F.col("role") == "meta")
-            .select("file", "session_id", F.col("source").alias("agent_id"), "workflow_id"),
-            "file",
+    beside = _named(files, "meta") if few else None
+    metas = _metas(spark, root, files, beside)
+    kept = _named(files, "offload") if few else None
+    return Recorded(files, lines, metas, offload_files(spark, root, files, kept), _paths(files))
+
+
+def _metas(
+    spark: SparkSession, root: str, files: DataFrame, named: list[str] | None
+) -> DataFrame:
+    """What is written beside each agent transcript."""
+    held = files.filter(F.col("role") == "meta").select(
+        "file", "session_id", F.col("source").alias("agent_id"), "workflow_id"
+    )
+    if named == []:
+        told = spark.createDataFrame([], "file string, value string")
+    else:
+        told = (
+            spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.meta.json").text(root if named is None else named)
+            .select(_decoded(F.col("_metadata.file_path")).alias("file"), "value")
         )
-        .select("session_id", "agent_id", "workflow_id", "m.*")
+    return told.select("file", F.from_json("value", META).alias("m")).join(held, "file").select(
+        "session_id", "agent_id", "workflow_id", "m.*"
     )
-    return Recorded(files, lines, metas, offload_files(spark, root, files), _paths(files))
 
 
 def _paths(files: DataFrame) -> DataFrame:
@@ -185,16 +215,21 @@ def _paths(files: DataFrame) -> DataFrame:
     )
 
 
-def offload_files(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+def offload_files(
+    spark: SparkSession, root: str, files: DataFrame, named: list[str] | None = None
+) -> DataFrame:
     """Tool output kept beside a transcript, as text; bytes that are none are replaced and said so."""
-    read = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-        .select(_decoded(F.col("path")).alias("file"), "content", "length")
-    )
+    held = files.filter(F.col("role") == "offload").select("file", "session_id", "name")
+    if named == []:
+        read = spark.createDataFrame([], "file string, content binary, length long")
+    else:
+        read = (
+            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .load(root if named is None else named)
+            .select(_decoded(F.col("path")).alias("file"), "content", "length")
+        )
     text = F.col("content").cast("string")
-    return read.join(
-        files.filter(F.col("role") == "offload").select("file", "session_id", "name"), "file"
-    ).select(
+    return read.join(held, "file").select(
         "session_id", "name", F.make_valid_utf8(text).alias("content"),
         (~F.is_valid_utf8(text)).alias("lossy_decode"), F.col("length").alias("size_bytes"),
     )

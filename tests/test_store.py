@@ -161,3 +161,17 @@ def test_older_frames_take_todays_columns(spark):
     assert migrated(old, "compactions", 8, runs).first().replayed
     with pytest.raises(ValueError):
         migrated(old, "compactions", 99)
+
+
+def test_arriving_files_wake_a_refresh(spark, tmp_path):
+    from sessionlake.streaming.refresh import refresh_stream
+
+    root = tmp_path / "projects"
+    store = Store(spark, str(tmp_path / "store"), buckets=2)
+    write(root / "-p" / "n1.jsonl", [user("k1", 1, "first")])
+    for session, turns in (("n1", 1), ("n2", 2)):
+        query = refresh_stream(spark, store, str(root), str(tmp_path / "cp"))
+        query.awaitTermination(200)
+        assert query.exception() is None
+        assert store.tables()["turns"].count() == turns, session
+        write(root / "-p" / "n2.jsonl", [user("k2", 1, "second")])
