@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import addressable, near, packing
+from sessionlake.llm import addressable, importance, near, packing
 from sessionlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,13 +20,21 @@ def op7_addressable_codes(spark: SparkSession, folder: str) -> DataFrame:
     return addressable.read_codes(addressable.write_codes(table(spark, folder, "documents")))
 
 
+def op9_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return importance.resample(documents, labels)[0]
+
+
 def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     found = near.near_duplicates(table(spark, folder, "documents"))
     return found.select("doc_id", "class_id", "kept")
 
 
 QUERIES: dict[str, Query] = {
-    q.__name__: q for q in (op2_best_fit_packing, op7_addressable_codes, op10_probminhash)
+    q.__name__: q
+    for q in (
+        op2_best_fit_packing, op7_addressable_codes, op9_importance_resampling, op10_probminhash,
+    )
 }
 
 SQL: dict[str, str] = {}
