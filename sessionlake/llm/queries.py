@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sessionlake.llm import addressable, importance, near, packing
+from sessionlake.llm import addressable, importance, leaks, near, packing, private
 from sessionlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +16,14 @@ def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+def op3_anchor_expansion(spark: SparkSession, folder: str) -> DataFrame:
+    return private.report(table(spark, folder, "documents"))
+
+
+def op6_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op7_addressable_codes(spark: SparkSession, folder: str) -> DataFrame:
     return addressable.read_codes(addressable.write_codes(table(spark, folder, "documents")))
 
@@ -33,7 +41,8 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        op2_best_fit_packing, op7_addressable_codes, op9_importance_resampling, op10_probminhash,
+        op2_best_fit_packing, op3_anchor_expansion, op6_benchmark_windows, op7_addressable_codes,
+        op9_importance_resampling, op10_probminhash,
     )
 }
 
