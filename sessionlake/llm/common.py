@@ -27,6 +27,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of just this name, dots and all."""
+    return F.col("`{}`".format(name.replace("`", "``")))
+
+
 def fingerprint(text: Column) -> Column:
     """16 bytes that stand for a text; null counts as empty."""
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))

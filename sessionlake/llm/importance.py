@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fresh, slices, task_number
+from sessionlake.llm.common import fresh, quoted, slices, task_number
 from sessionlake.llm.words import mix, word_hashes
 from sessionlake.session import keep
 
@@ -286,4 +286,4 @@ def resampled(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS
 
     marked = docs.withColumns({text: columns[0], salt: columns[1]})
     marked = marked.withColumn(key, keys(F.col(text), F.col(salt)))
-    return marked.where((F.col(key) >= sampler.least) & (F.col(key) > float("-inf"))).select(*own)
+    return marked.where((F.col(key) >= sampler.least) & (F.col(key) > float("-inf"))).select(*map(quoted, own))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fresh, id_and_text, slices, task_number
+from sessionlake.llm.common import fresh, id_and_text, quoted, slices
 
 WINDOW = 10
 MOST_BYTES = 64 << 20
@@ -120,7 +120,7 @@ def dealt(benchmark: DataFrame, most_bytes: int, size: int = WINDOW) -> list[lis
 
 def scanned(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, items (sorted ids), spans (start, end in characters)."""
-    docs = id_and_text(docs)
+    docs = id_and_text(docs).withColumn("row", F.monotonically_increasing_id())
     spark = docs.sparkSession
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType(
@@ -133,7 +133,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES)
 
     def one(finder) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            row, tool = task_number() << 33, finder.value
+            tool = finder.value
             for batch in slices(batches):
                 counts, hits, items, places = [], [], [], []
                 for text in batch.column("text").to_pylist():
@@ -143,11 +143,9 @@ def scanned(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES)
                     hits.append([{"start": a, "end": b} for a, b in runs])
                     items.append(sorted(names))
                     places.append([{"start": a, "end": b} for a, b in spans(text, runs)])
-                rows = pa.array(np.arange(row, row + batch.num_rows))
-                row += batch.num_rows
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), rows, pa.array(counts, pa.int64()), pa.array(hits, pairs),
+                        batch.column("doc_id"), batch.column("row"), pa.array(counts, pa.int64()), pa.array(hits, pairs),
                         pa.array(items, pa.list_(pa.string())), pa.array(places, pairs),
                     ],
                     schema.names,
@@ -213,4 +211,4 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_
     kept = docs.withColumn(text, F.coalesce(F.col("text"), F.lit("")))
     for finder in finders:
         kept = kept.withColumn(hit, marks(finder)(F.col(text))).where(~F.col(hit)).drop(hit)
-    return kept.select(*own)
+    return kept.select(*map(quoted, own))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fingerprint, fresh, id_and_text, slices
+from sessionlake.llm.common import fingerprint, fresh, id_and_text, quoted, slices
 from sessionlake.llm.graph import components
 from sessionlake.llm.words import mix, runs, word_hashes
 from sessionlake.session import keep
@@ -299,4 +299,4 @@ def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> Da
     kept = near_duplicates(docs, threshold).where("kept").select(F.col("fp").alias("_kept"), F.col("doc_id").alias("_id"))
     marked = docs.withColumn(mark, fingerprint(F.col("text")))
     same = (marked[mark] == kept["_kept"]) & marked["doc_id"].eqNullSafe(kept["_id"])
-    return marked.join(kept, same, "left_semi").dropDuplicates([mark, "doc_id"]).select(*own)
+    return marked.join(kept, same, "left_semi").dropDuplicates([mark, "doc_id"]).select(*map(quoted, own))

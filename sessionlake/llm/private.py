@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fresh, id_and_text, slices
+from sessionlake.llm.common import fresh, id_and_text, quoted, slices
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login", "contact", "ip6")
@@ -252,4 +252,4 @@ def masked(docs: DataFrame) -> DataFrame:
         kind = docs.schema["n_chars"].dataType
         same = F.col(text).eqNullSafe(F.col("text"))
         changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length(text).cast(kind))
-    return marked.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
+    return marked.select(*[changed.get(c, quoted(c)).alias(c) for c in docs.columns])

@@ -5,13 +5,34 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from sessionlake.llm import addressable, importance, leaks, near, packing, private
+from pyspark.sql import functions as F
+
+from sessionlake.llm import (
+    addressable,
+    hilbert,
+    importance,
+    leaks,
+    near,
+    packing,
+    private,
+    repeats,
+    rules,
+    separators,
+)
 from sessionlake.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    written = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"]))
+    return found.select(
+        "doc_id", "text", F.size("removed").alias("n_removed"), F.array_join(written, ",").alias("removed"),
+        F.array_join(F.transform("first_ids", lambda i: i.cast("string")), ",").alias("first_ids"),
+    )
+
+
 def op2_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
@@ -20,6 +41,18 @@ def op3_anchor_expansion(spark: SparkSession, folder: str) -> DataFrame:
     return private.report(table(spark, folder, "documents"))
 
 
+def op4_hilbert_curve(spark: SparkSession, folder: str) -> DataFrame:
+    placed = hilbert.placed(table(spark, folder, "documents"))
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"), "curve",
+    )
+
+
+def op5_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.judged(table(spark, folder, "documents"))
+
+
 def op6_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:
     return leaks.report(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -28,6 +61,10 @@ def op7_addressable_codes(spark: SparkSession, folder: str) -> DataFrame:
     return addressable.read_codes(addressable.write_codes(table(spark, folder, "documents")))
 
 
+def op8_separator_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return separators.counts(separators.write_flat(table(spark, folder, "documents")))
+
+
 def op9_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     documents, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
     return importance.resample(documents, labels)[0]
@@ -41,7 +78,8 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
-        op2_best_fit_packing, op3_anchor_expansion, op6_benchmark_windows, op7_addressable_codes,
+        op1_line_hashing, op2_best_fit_packing, op3_anchor_expansion, op4_hilbert_curve,
+        op5_line_frequency, op6_benchmark_windows, op7_addressable_codes, op8_separator_scan,
         op9_importance_resampling, op10_probminhash,
     )
 }

@@ -52,11 +52,15 @@ class Encoder:
     """`keeps_space`: a byte-level vocabulary, whose words begin with the blank before them; else
     one that drops white space and case."""
 
-    def __init__(self, path: str, keeps_space: bool) -> None:
+    def __init__(self, path: str, keeps_space: bool, plain: bool = False) -> None:
+        """`plain`: the strings of special tokens are ordinary text."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = self.literal = Tokenizer.from_file(path)
+        if plain:
+            self.literal = Tokenizer.from_file(path)
+            self.literal.encode_special_tokens = True
         self.mark = self.tokenizer.token_to_id(MARK)
         self.keeps_space = keeps_space
         self.cut = self._with_space if keeps_space else self._without_space
@@ -109,7 +113,7 @@ class Encoder:
 
     def _encoded(self, words: list[str]) -> Iterator[bytes]:
         """The ids of each of `words`; many are given to the library as one text between marks."""
-        own = [w for w in words if MARK not in w]
+        own = [w for w in words if "<|" not in w]
         texts = [MARK.join(own[k : k + 200]) for k in range(0, len(own), 200)]
         plain: list[bytes] = []
         for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -121,8 +125,8 @@ class Encoder:
                 low = end + 1
         rest = iter(plain)
         for w in words:
-            if MARK in w:
-                ids = self.tokenizer.encode(w, add_special_tokens=False).ids
+            if "<|" in w:
+                ids = self.literal.encode(w, add_special_tokens=False).ids
                 yield np.array(ids, np.uint32).tobytes()
             else:
                 yield next(rest)
@@ -192,6 +196,6 @@ class Encoder:
 
 
 @cache
-def encoder(path: str, keeps_space: bool) -> Encoder:
+def encoder(path: str, keeps_space: bool, plain: bool = False) -> Encoder:
     """One for each vocabulary in a worker, kept from task to task."""
-    return Encoder(path, keeps_space)
+    return Encoder(path, keeps_space, plain)
