@@ -36,9 +36,9 @@ SQL["run_rounds"] = T(
 FROM live_agent_runs a WHERE NOT EXISTS (SELECT 1 FROM down d WHERE d.session_id = a.session_id AND d.top_run = a.id AND d.run_id = a.id)""",
     _LINKS + """,
 down AS (
-  SELECT session_id, up_run AS top_run, run_id, 1 AS hops FROM link WHERE up_run IS NOT NULL
-  UNION SELECT d.session_id, d.top_run, l.run_id, d.hops + 1 FROM down d JOIN link l ON l.session_id = d.session_id AND l.up_run = d.run_id
-  WHERE d.hops < 12)""",
+  SELECT session_id, up_run AS top_run, run_id, 1 AS hops, [up_run, run_id] AS path FROM link WHERE up_run IS NOT NULL
+  UNION SELECT d.session_id, d.top_run, l.run_id, d.hops + 1, list_append(d.path, l.run_id) FROM down d JOIN link l ON l.session_id = d.session_id AND l.up_run = d.run_id
+  WHERE NOT list_contains(d.path, l.run_id) OR (l.run_id = d.top_run AND d.run_id <> d.top_run))""",
 )
 _ONE = "trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
 _SPAWNED = """

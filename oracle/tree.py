@@ -135,10 +135,10 @@ sided AS MATERIALIZED (
   SELECT l.session_id, l.key, l.parent, a.key AS next FROM level l
   LEFT JOIN level a ON a.session_id = l.session_id AND a.parent = l.parent AND a.place = l.place + 1),
 climb AS (
-  SELECT session_id, key, parent AS spot_at, NULL::VARCHAR AS next, 1 AS hops FROM sided WHERE next IS NULL
+  SELECT session_id, key, parent AS spot_at, NULL::VARCHAR AS next, 1 AS hops, [key] AS path FROM sided WHERE next IS NULL
   UNION ALL
-  SELECT c.session_id, c.key, s.parent, s.next, c.hops + 1
-  FROM climb c JOIN sided s ON s.session_id = c.session_id AND s.key = c.spot_at WHERE c.next IS NULL AND c.hops <= 16)""",
+  SELECT c.session_id, c.key, s.parent, s.next, c.hops + 1, list_append(c.path, s.key)
+  FROM climb c JOIN sided s ON s.session_id = c.session_id AND s.key = c.spot_at WHERE c.next IS NULL AND NOT list_contains(c.path, s.key))""",
 )
 SQL["tree_no_api"] = T(
     """SELECT session_id, key, kind, parent FROM tree WHERE parent IS NOT NULL AND kind NOT IN ('call', 'tool')
@@ -206,24 +206,35 @@ _OF = {
 }
 
 
+# Every node of a kind, whatever calls it made.
+_NODE_OF = {
+    "session": "SELECT session_id, 'session - ' || session_id AS key FROM live_rollups",
+    "run": "SELECT session_id, 'run ' || id || ' ' || id AS key FROM live_agent_runs",
+    "turn": "SELECT session_id, 'turn ' || source || ' ' || id AS key FROM live_turns",
+    "call": "SELECT session_id, 'call ' || source || ' ' || id AS key FROM live_api_calls",
+}
+
+
 def _numbers(kind: str) -> str:
     key, where, added = _OF[kind]
     grown = """
 LEFT JOIN (SELECT session_id, 'turn ' || source || ' ' || id AS key, fill - coalesce(before, 0) AS grown FROM turn_fill) f
-  ON f.session_id = w.session_id AND f.key = w.key""" if kind == "turn" else ""
+  ON f.session_id = n.session_id AND f.key = n.key""" if kind == "turn" else ""
     return T(
-        f"""SELECT w.session_id, w.key, w.model, w.window_tokens, w.cache_read_tokens, w.new_input_tokens, w.output_tokens, w.fill,
-  {added} AS added, w.cost_usd, coalesce(l.under_usd, 0) AS subtree_usd, r.cost_usd AS session_usd, w.unpriced AS unpriced_api_calls,
-  w.n AS api_calls, m.cache_read_usd, m.new_input_usd, m.output_usd
-FROM tip w
-JOIN (SELECT session_id, key, round(sum(r * i * 0.1 / 1e6), 9) AS cache_read_usd,
+        f"""SELECT n.session_id, n.key, w.model, w.window_tokens, w.cache_read_tokens, w.new_input_tokens, w.output_tokens, w.fill,
+  {added} AS added, w.cost_usd, coalesce(l.under_usd, 0) AS subtree_usd, r.cost_usd AS session_usd, coalesce(w.unpriced, 0) AS unpriced_api_calls,
+  coalesce(w.n, 0) AS api_calls, if(w.n IS NULL, 0, m.cache_read_usd) AS cache_read_usd,
+  if(w.n IS NULL, 0, m.new_input_usd) AS new_input_usd, if(w.n IS NULL, 0, m.output_usd) AS output_usd
+FROM ({_NODE_OF[kind]}) n
+LEFT JOIN tip w ON w.session_id = n.session_id AND w.key = n.key
+LEFT JOIN (SELECT session_id, key, round(sum(r * i * 0.1 / 1e6), 9) AS cache_read_usd,
         round(sum(x * i / 1e6 + (a * 1.25 + b * 2.0) * i / 1e6), 9) AS new_input_usd, round(sum(o * p / 1e6), 9) AS output_usd
       FROM (SELECT session_id, key, {_IN} AS i, {_OUT} AS p, sum(input_tokens) AS x, sum(output_tokens) AS o,
               sum(cache_read_tokens) AS r, sum(coalesce(cache_5m_tokens, cache_creation_tokens)) AS a,
               sum(coalesce(cache_1h_tokens, 0)) AS b FROM node_call GROUP BY session_id, key, model) GROUP BY ALL) m
   ON m.session_id = w.session_id AND m.key = w.key
-LEFT JOIN led l ON l.session_id = w.session_id AND l.key = w.key
-LEFT JOIN live_rollups r ON r.session_id = w.session_id{grown}""",
+LEFT JOIN led l ON l.session_id = n.session_id AND l.key = n.key
+LEFT JOIN live_rollups r ON r.session_id = n.session_id{grown}""",
         _UNDER + "," + _TURN_FILL + f""",
 node_call AS MATERIALIZED (SELECT *, {key} AS key, {_FILL} AS fill, {_ADDED} AS added, {_WINDOW_OF} AS win FROM (
   SELECT c.*, n.id AS own_turn FROM live_api_calls c {_OWN}) WHERE {where}),

@@ -5,25 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sessionlake.functions.jsons import is_object, read_json
 from sessionlake.functions.text import cut
 
 
-def is_json(text: Column) -> Column:
-    return F.try_parse_json(text).isNotNull()
-
-
 def json_field(text: Column, field: str) -> Column:
-    """One top-level member as text; NULL where the text is not JSON or lacks it."""
-    return F.when(is_json(text), F.get_json_object(text, f"$.{field}"))
+    """One top-level member as text; NULL where the text is not a JSON object or lacks it."""
+    return F.when(is_object(text), read_json(text, f"`{field}` STRING")[field])
 
 
 def tool_asked(field: str, chars: int, source: Column | None = None) -> Column:
     return cut(json_field(F.col("input") if source is None else source, field), chars)
 
 
-def tool_path(project_dir: Column, chars: int) -> Column:
+def tool_path(project_dir: Column, chars: int, path: Column | None = None) -> Column:
     """`file_path`, relative to the project where it lies inside it, cut after the prefix is off."""
-    whole = json_field(F.col("input"), "file_path")
+    whole = json_field(F.col("input"), "file_path") if path is None else path
     inside = F.startswith(whole, F.concat(project_dir, F.lit("/")))
     return F.when(
         F.coalesce(inside, F.lit(False)),
@@ -39,12 +36,14 @@ ASKED = (
 
 
 def tool_fields(project_dir: Column, addressed: Column, chars: int) -> Column:
-    todos = F.get_json_object(F.col("input"), "$.todos")
-    members = [tool_path(project_dir, chars).alias("path")]
-    members += [tool_asked(name, chars).alias(name) for name in ASKED]
+    # All members in one reading of the input.
+    schema = ", ".join(f"`{name}` STRING" for name in (*ASKED, "file_path", "todos"))
+    asked = F.when(is_object(F.col("input")), read_json(F.col("input"), schema))
+    members = [tool_path(project_dir, chars, asked["file_path"]).alias("path")]
+    members += [cut(asked[name], chars).alias(name) for name in ASKED]
     members += [
         cut(addressed, chars).alias("addressed"),
-        F.when(is_json(F.col("input")), F.json_array_length(todos)).alias("todos"),
+        F.json_array_length(asked["todos"]).alias("todos"),
         cut(F.col("input"), chars).alias("input_head"),
     ]
     return F.struct(*members)

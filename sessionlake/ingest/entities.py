@@ -131,7 +131,7 @@ def _results(lines: DataFrame) -> DataFrame:
             *THREAD, F.col("b.tool_use_id").alias("id"),
             F.struct(F.lit(0).alias("server"), "line_no", "pos").alias("order"),
             F.struct(
-                text_of(F.col("b.content")).alias("text"),
+                text_of(F.col("b")).alias("text"),
                 F.coalesce(F.col("b.is_error"), F.lit(False)).alias("is_error"),
                 F.element_at(F.split(F.col("details.persistedOutputPath"), "/", -1), -1)
                 .alias("offload_file"),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sessionlake.functions.jsons import is_object, read_json
+
 # The record kinds read, the kinds kept verbatim only, and the system subtypes.
 PARSED_KINDS = (
     "user", "assistant", "system", "custom-title", "ai-title", "agent-name", "pr-link",
@@ -61,6 +63,8 @@ BLOCK = """
   type STRING, id STRING, name STRING, input STRING, text STRING, thinking STRING,
   tool_use_id STRING, is_error BOOLEAN, content STRING, `from` STRUCT<model: STRING>
 """
+# A block's content read a second way: NULL unless it is a list.
+PARTS = "content ARRAY<STRING>"
 PART = "type STRING, text STRING"
 META = (
     "agentType STRING, description STRING, model STRING, toolUseId STRING, parentAgentId STRING, "
@@ -71,19 +75,20 @@ META = (
 def parsed(lines: DataFrame) -> DataFrame:
     """Raw lines with their record beside them; a line that is not a JSON object has none."""
     raw = F.col("raw")
-    whole = raw.rlike(r"(?s)^\s*\{") & F.try_parse_json(raw).isNotNull()
-    rec = F.when(whole, F.from_json(raw, RECORD))
-    lists = F.when(whole, F.from_json(raw, LISTS))
+    whole = is_object(raw)
+    rec = F.when(whole, read_json(raw, RECORD))
+    lists = F.when(whole, read_json(raw, LISTS))
     return (
-        lines.withColumns({"rec": rec, "_lists": lists, "_details": F.from_json(raw, DETAILS)})
+        lines.withColumns({"rec": rec, "_lists": lists, "_details": read_json(raw, DETAILS)})
         .withColumns(
             {
                 "ts": F.try_to_timestamp(F.col("rec.timestamp")),
                 "blocks": F.transform(
-                    F.col("_lists.message.content"), lambda b: F.from_json(b, BLOCK)
+                    F.col("_lists.message.content"),
+                    lambda b: read_json(b, BLOCK).withField("parts", read_json(b, PARTS)["content"]),
                 ),
                 "prompt_parts": F.transform(
-                    F.col("_lists.attachment.prompt"), lambda b: F.from_json(b, PART)
+                    F.col("_lists.attachment.prompt"), lambda b: read_json(b, PART)
                 ),
                 "details": F.col("_details.toolUseResult"),
                 "uuid": F.col("rec.uuid"),
@@ -94,23 +99,14 @@ def parsed(lines: DataFrame) -> DataFrame:
     )
 
 
-def text_of(content: Column) -> Column:
-    """A result as text: a string as it stands, a list as its text parts joined."""
-    parts = F.from_json(F.concat(F.lit('{"p":'), content, F.lit("}")), f"p ARRAY<STRUCT<{_parts()}>>")
-    joined = F.array_join(
-        F.transform(
-            F.filter(parts["p"], lambda p: p["type"] == "text"),
-            lambda p: F.coalesce(p["text"], F.lit("")),
-        ),
-        "",
+def text_of(block: Column) -> Column:
+    """A result as text: a string as it stands, whatever it looks like; a list as its text parts
+    joined."""
+    texts = F.filter(
+        F.transform(block["parts"], lambda p: read_json(p, PART)), lambda p: p["type"] == "text"
     )
-    return F.when(content.rlike(r'^\[\s*\{') & parts["p"].isNotNull(), joined).when(
-        content == "[]", F.lit("")
-    ).otherwise(content)
-
-
-def _parts() -> str:
-    return PART.replace(" STRING", ": STRING")
+    joined = F.array_join(F.transform(texts, lambda p: F.coalesce(p["text"], F.lit(""))), "")
+    return F.when(block["parts"].isNotNull(), joined).otherwise(block["content"])
 
 
 def words_of(blocks: Column, kind: str, member: str) -> Column:

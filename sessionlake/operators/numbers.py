@@ -41,6 +41,17 @@ def _calls_of_nodes(t: Tables, kind: str) -> DataFrame:
     return rows.withColumn("key", key)
 
 
+def _nodes_of(t: Tables, kind: str) -> DataFrame:
+    """Every node of a kind, also one that made no call of its own."""
+    session, source, own = F.col("session_id"), F.col("source"), F.col("id")
+    if kind == "session":
+        return t.rollups("live").select("session_id", session_key(session).alias("key"))
+    if kind == "run":
+        return t.live("agent_runs").select("session_id", key_of("run", own, own).alias("key"))
+    rows = t.live("turns" if kind == "turn" else "api_calls")
+    return rows.select("session_id", key_of(kind, source, own).alias("key"))
+
+
 def numbers(t: Tables, kind: str) -> DataFrame:
     """One row per node of a kind: window tip, tokens by charge, own cost and what hangs below.
 
@@ -93,7 +104,9 @@ def numbers(t: Tables, kind: str) -> DataFrame:
         usd("output").alias("output_usd"),
     )
     session = t.rollups("live").select("session_id", F.col("cost_usd").alias("session_usd"))
-    rows = whole.join(ledger(t), ["session_id", "key"], "left").join(session, "session_id", "left")
+    node = ["session_id", "key"]
+    rows = _nodes_of(t, kind).join(whole, node, "left").join(ledger(t), node, "left")
+    rows = rows.join(session, "session_id", "left")
     added = F.lit(None).cast("long")
     if kind == "run":
         added = F.col("tip.fill")
@@ -114,7 +127,12 @@ def numbers(t: Tables, kind: str) -> DataFrame:
         )],
         added.alias("added"), "cost_usd",
         F.coalesce("under_usd", F.lit(0.0)).alias("subtree_usd"), "session_usd",
-        "unpriced_api_calls", "api_calls", "cache_read_usd", "new_input_usd", "output_usd",
+        *[F.coalesce(c, F.lit(0)).alias(c) for c in ("unpriced_api_calls", "api_calls")],
+        # Nothing was spent where nothing was asked; a model without a price stays unknown.
+        *[
+            F.when(F.col("api_calls").isNull(), F.lit(0.0)).otherwise(F.col(c)).alias(c)
+            for c in ("cache_read_usd", "new_input_usd", "output_usd")
+        ],
     )
 
 

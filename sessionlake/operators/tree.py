@@ -23,8 +23,6 @@ from sessionlake.operators.windows import THREAD, block_of, running
 from sessionlake.schema import MAIN
 from sessionlake.session import cut_lineage
 
-# Fixed value: the rows a chain from a session to a node may have.
-DEPTH = 16
 NO_SOURCE = "-"
 
 
@@ -335,7 +333,7 @@ def walk(t: Tables) -> DataFrame:
     """Each node with the one read before it and the one read after it.
 
     Before: the sibling ahead, else the parent. After: the following sibling, else whatever follows
-    the parent, and so on up; the climb halves its remaining height each round.
+    the parent, and so on up to the session; the climb doubles its reach each round.
     """
     level = numbered(nodes(t).filter(F.col("parent").isNotNull())).select(
         "session_id", "key", "parent", "place"
@@ -356,13 +354,19 @@ def walk(t: Tables) -> DataFrame:
     ends = cut_lineage(
         sided.filter(F.col("after").isNull()).select("session_id", "key", F.col("parent").alias("at"))
     )
-    steps = 1
-    while steps < DEPTH:
+    # A node that no end of a level stands for has reached its place; the others climb on, twice as
+    # far each round. No climb is longer than there are ends, so only rings are left turning then.
+    for _ in range(ends.count().bit_length()):
         hop = ends.select("session_id", F.col("key").alias("at"), F.col("at").alias("_next"))
-        ends = ends.join(hop, ["session_id", "at"], "left").select(
-            "session_id", "key", F.coalesce("_next", "at").alias("at")
+        climbed = cut_lineage(
+            ends.join(hop, ["session_id", "at"], "left").select(
+                "session_id", "key", F.coalesce("_next", "at").alias("at"),
+                F.col("_next").isNotNull().alias("_moved"),
+            )
         )
-        steps *= 2
+        ends = climbed.drop("_moved")
+        if not climbed.filter("_moved").limit(1).count():
+            break
     follows = sided.filter(F.col("after").isNotNull()).select(
         "session_id", F.col("key").alias("at"), F.col("after").alias("climbed_to")
     )

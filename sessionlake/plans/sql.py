@@ -21,8 +21,8 @@ def install_functions(spark: SparkSession) -> None:
         "context_window(model_name STRING) RETURNS BIGINT": f"try_element_at(map({windows}), model_name)",
         "cut_text(whole STRING, chars INT) RETURNS STRING": "substring(whole, 1, chars + 1)",
         "tool_asked(asked STRING, field STRING, chars INT) RETURNS STRING": (
-            "CASE WHEN try_parse_json(asked) IS NOT NULL "
-            "THEN substring(get_json_object(asked, concat('$.', field)), 1, chars + 1) END"
+            "substring(try_element_at(from_json(asked, 'MAP<STRING, STRING>', "
+            "map('maxStringLen', '2147483647', 'allowSingleQuotes', 'false')), field), 1, chars + 1)"
         ),
         "context_fill(cache_read BIGINT, creation BIGINT, asked BIGINT, answered BIGINT) "
         "RETURNS BIGINT": "cache_read + creation + asked + answered",
