@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sessionlake.functions.jsons import read_json
 from sessionlake.ingest.lines import reject
 from sessionlake.ingest.records import META
 from sessionlake.schema import MAIN
@@ -116,39 +117,37 @@ def fingerprints(files: DataFrame, extractor_version: str) -> DataFrame:
     )
 
 
-MAX_LISTED = 50_000
-
-
-def _named(files: DataFrame, *roles: str) -> list[str] | None:
-    """The files of some roles by name where they are few; None where the root is read instead.
-
-    A refresh that found little changed reads only that; a first load reads everything anyway.
-    """
-    rows = files.filter(F.col("role").isin(*roles)).select("file").limit(MAX_LISTED + 1).collect()
-    if len(rows) > MAX_LISTED:
-        return None
-    return [re.sub(r"([\[\]{}*?\\])", r"\\\1", r.file) for r in rows]
+def since_oldest(files: DataFrame) -> dict[str, str]:
+    """A reader's option that leaves out what was last written before the oldest of `files`."""
+    oldest = files.agg(F.date_format(F.min("modificationTime") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
+    return {"modifiedAfter": oldest} if oldest else {}
 
 
 def numbered_lines(
-    spark: SparkSession, root: str, pattern: str = "*.jsonl", named: list[str] | None = None
+    spark: SparkSession, root: str, pattern: str = "*.jsonl", files: DataFrame | None = None
 ) -> DataFrame:
     """(file, line_no, raw): every line with its number in its file, large files read in pieces.
 
     A file is split at newlines only and read by as many tasks as it has blocks. Lines are
     numbered within their block as they are read; blocks then learn how many lines came before.
+    With `files`, only those are kept, however many they are.
     """
+    options = {} if files is None else since_oldest(files)
     read = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .text(root if named is None else named)
+        .options(**options)
+        .text(root)
         .select(
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_block_start").alias("block"),
             F.monotonically_increasing_id().alias("seen"), F.col("value").alias("raw"),
         )
     )
+    if files is not None:
+        wanted = files.select("file").distinct()
+        read = read.withColumn("file", _decoded(F.col("path"))).join(wanted, "file", "left_semi").drop("file")
     read = keep(read, "lines")
     blocks = read.groupBy("path", "block").agg(
         F.min("seen").alias("first_seen"), F.count(F.lit(1)).alias("n")
@@ -174,37 +173,26 @@ class Recorded:
 def recorded(spark: SparkSession, root: str, sessions: DataFrame | None = None) -> Recorded:
     """Everything recorded under a root, or of the sessions named."""
     files = listing(spark, root)
-    few = sessions is not None
-    if few:
-        files = keep(files.join(sessions.select("session_id"), "session_id", "left_semi"), "files")
+    if sessions is not None:
+        files = files.join(sessions.select("session_id"), "session_id", "left_semi")
+    files = keep(files, "files")
     told = files.filter(F.col("role").isin("main", "agent", "journal"))
-    lines = numbered_lines(
-        spark, root, named=_named(files, "main", "agent", "journal") if few else None
-    ).join(
+    lines = numbered_lines(spark, root, files=told).join(
         told.select("file", "session_id", "source"), "file"
     ).select("session_id", "source", "line_no", "raw")
-    beside = _named(files, "meta") if few else None
-    metas = _metas(spark, root, files, beside)
-    kept = _named(files, "offload") if few else None
-    return Recorded(files, lines, metas, offload_files(spark, root, files, kept), _paths(files))
+    return Recorded(files, lines, _metas(spark, root, files), offload_files(spark, root, files), _paths(files))
 
 
-def _metas(
-    spark: SparkSession, root: str, files: DataFrame, named: list[str] | None
-) -> DataFrame:
+def _metas(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """What is written beside each agent transcript."""
-    held = files.filter(F.col("role") == "meta").select(
-        "file", "session_id", F.col("source").alias("agent_id"), "workflow_id"
+    held = files.filter(F.col("role") == "meta")
+    told = (
+        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+        .option("pathGlobFilter", "*.meta.json").options(**since_oldest(held)).text(root)
+        .select(_decoded(F.col("_metadata.file_path")).alias("file"), "value")
     )
-    if named == []:
-        told = spark.createDataFrame([], "file string, value string")
-    else:
-        told = (
-            spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-            .option("pathGlobFilter", "*.meta.json").text(root if named is None else named)
-            .select(_decoded(F.col("_metadata.file_path")).alias("file"), "value")
-        )
-    return told.select("file", F.from_json("value", META).alias("m")).join(held, "file").select(
+    held = held.select("file", "session_id", F.col("source").alias("agent_id"), "workflow_id")
+    return told.select("file", read_json(F.col("value"), META).alias("m")).join(held, "file").select(
         "session_id", "agent_id", "workflow_id", "m.*"
     )
 
@@ -215,17 +203,19 @@ def _paths(files: DataFrame) -> DataFrame:
     )
 
 
-def offload_files(
-    spark: SparkSession, root: str, files: DataFrame, named: list[str] | None = None
-) -> DataFrame:
-    """Tool output kept beside a transcript, as text; bytes that are none are replaced and said so."""
-    held = files.filter(F.col("role") == "offload").select("file", "session_id", "name")
-    if named == []:
+def offload_files(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+    """Tool output kept beside a transcript, as text; bytes that are none are replaced and said so.
+
+    Only the folders such files lie in are opened, so no transcript is read as one piece."""
+    held = files.filter(F.col("role") == "offload")
+    options = since_oldest(held)
+    held = held.select("file", "session_id", "name")
+    if not options:
         read = spark.createDataFrame([], "file string, content binary, length long")
     else:
         read = (
-            spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-            .load(root if named is None else named)
+            spark.read.format("binaryFile").options(**options)
+            .load(f"{root.rstrip('/')}/*/*/tool-results/*")
             .select(_decoded(F.col("path")).alias("file"), "content", "length")
         )
     text = F.col("content").cast("string")

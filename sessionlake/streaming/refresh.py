@@ -1,4 +1,4 @@
-"""Transcripts that keep arriving: refreshes driven by a stream of files, and live gap detection.
+"""Transcripts that keep arriving: refreshes on a clock, and live gap detection.
 
 A session whose files change is read again whole and replaces what the archive held, so late lines
 need no watermark there. Gap detection keeps one row of state per thread.
@@ -18,68 +18,76 @@ from sessionlake.operators.gaps import IDLE_SECONDS, MIN_REBUILT_PCT, MIN_REBUIL
 from sessionlake.sources.store import Store, refresh
 
 
-def refresh_stream(spark: SparkSession, store: Store, root: str, checkpoint: str) -> StreamingQuery:
-    """New files under a root wake a refresh; what it reads is whatever changed, once per batch."""
-    arrivals = (
-        spark.readStream.format("binaryFile")
-        .schema("path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.jsonl")
-        .load(root)
-        .select("path", "length")
+def refresh_stream(
+    spark: SparkSession, store: Store, root: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Looks at a root again and again and refreshes what changed: new files and grown ones alike.
+
+    A file source knows a file by its path only and would miss a transcript that grows, so the
+    stream is only the clock; the fingerprints of `refresh` find what to read. With `every` the
+    query runs on at that interval, without it once.
+    """
+    ticks = (
+        spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1).load()
     )
 
-    def on_batch(batch: DataFrame, _: int) -> None:
-        if not batch.isEmpty():
-            refresh(store, root)
+    def on_tick(batch: DataFrame, _: int) -> None:
+        refresh(store, root)
 
+    trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
-        arrivals.writeStream.foreachBatch(on_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        ticks.writeStream.foreachBatch(on_tick).option("checkpointLocation", checkpoint)
+        .trigger(**trigger).start()
     )
 
 
 GAP = (
-    "session_id STRING, source STRING, gap_start TIMESTAMP, started_at TIMESTAMP, "
+    "session_id STRING, source STRING, gap_start BIGINT, started_at BIGINT, "
     "idle_seconds BIGINT, reloaded BOOLEAN, rebuilt_tokens BIGINT, cached_1h BOOLEAN"
 )
 
 
+#: A thread is forgotten this long after its last call came in.
+FORGET_AFTER = 30 * 24 * 3600 * 1000
+
+
 class GapDetector(StatefulProcessor):
-    """Remembers the last call of each thread and reports the silence before the next one."""
+    """Remembers the last call of each thread and reports the silence before the next one.
 
-    def __init__(self, min_idle_seconds: int = IDLE_SECONDS) -> None:
-        self.min_idle_seconds = min_idle_seconds
+    Times are microseconds since the epoch, so no worker's time zone plays a part. A batch's calls of
+    a thread may come in several pieces: they are put together and ordered before they are compared.
+    """
+
+    def __init__(self, min_idle_seconds: int = IDLE_SECONDS, forget_after: int = FORGET_AFTER) -> None:
+        self.min_idle_seconds, self.forget_after = min_idle_seconds, forget_after
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.last = handle.getValueState("last", "started_at TIMESTAMP, cached BOOLEAN")
+        self.last = handle.getValueState("last", "at BIGINT, cached BOOLEAN", self.forget_after)
 
     def handleInputRows(
         self, key: tuple, rows: Iterator[pd.DataFrame], timer_values: object
     ) -> Iterator[pd.DataFrame]:
+        calls = pd.concat(list(rows), ignore_index=True).sort_values(["at", "index"], kind="stable")
         held = self.last.get()
-        before, cached = (held[0], held[1]) if held is not None else (None, False)
-        for calls in rows:
-            found = []
-            for call in calls.sort_values("started_at").itertuples():
-                at = call.started_at.to_pydatetime()
-                if before is not None:
-                    idle = int(at.timestamp()) - int(pd.Timestamp(before).timestamp())
-                    if idle >= self.min_idle_seconds:
-                        found.append(
-                            (key[0], key[1], before, at, idle, bool(call.reloaded),
-                             int(call.cache_creation_tokens), bool(cached))
-                        )
-                before, cached = at, bool(call.cached)
-            yield pd.DataFrame(
-                found,
-                columns=["session_id", "source", "gap_start", "started_at", "idle_seconds",
-                         "reloaded", "rebuilt_tokens", "cached_1h"],
-            )
-        if before is not None:
-            self.last.update((before, cached))
+        if held is not None:
+            first = calls.iloc[:1].assign(at=held[0], cached=held[1])
+            calls = pd.concat([first, calls], ignore_index=True)
+        before = calls.shift(1)
+        # Whole seconds on either side, as the batch report counts them.
+        idle = calls["at"] // 1_000_000 - before["at"] // 1_000_000
+        found = idle >= self.min_idle_seconds
+        found.iloc[0] = False
+        last = calls.iloc[-1]
+        self.last.update((int(last["at"]), bool(last["cached"])))
+        yield pd.DataFrame(
+            {
+                "session_id": key[0], "source": key[1],
+                "gap_start": before.loc[found, "at"].astype("int64"), "started_at": calls.loc[found, "at"],
+                "idle_seconds": idle[found].astype("int64"), "reloaded": calls.loc[found, "reloaded"],
+                "rebuilt_tokens": calls.loc[found, "cache_creation_tokens"],
+                "cached_1h": before.loc[found, "cached"].astype(bool),
+            }
+        )
 
     def close(self) -> None:
         pass
@@ -90,20 +98,22 @@ def idle_gap_stream(
     min_idle_seconds: int = IDLE_SECONDS,
     min_rebuilt_tokens: int = MIN_REBUILT_TOKENS,
     min_rebuilt_pct: int = MIN_REBUILT_PCT,
+    forget_after: int = FORGET_AFTER,
 ) -> DataFrame:
     """Silences as they end, from a stream of calls with the columns of the archive."""
     narrow = calls.select(
-        "session_id", "source", "started_at", "cache_creation_tokens",
+        "session_id", "source", F.unix_micros("started_at").alias("at"), "index", "cache_creation_tokens",
         rebuilt_context(
             F.col("cache_creation_tokens"), F.col("cache_read_tokens"), min_rebuilt_tokens,
             min_rebuilt_pct,
         ).alias("reloaded"),
         (F.coalesce("cache_1h_tokens", F.lit(0)) > 0).alias("cached"),
+    ).filter(F.col("at").isNotNull())
+    found = narrow.groupBy("session_id", "source").transformWithStateInPandas(
+        statefulProcessor=GapDetector(min_idle_seconds, forget_after), outputStructType=GAP,
+        outputMode="Append", timeMode="ProcessingTime",
     )
-    return narrow.groupBy("session_id", "source").transformWithStateInPandas(
-        statefulProcessor=GapDetector(min_idle_seconds), outputStructType=GAP,
-        outputMode="Append", timeMode="None",
-    )
+    return found.withColumns({c: F.timestamp_micros(c) for c in ("gap_start", "started_at")})
 
 
 def call_windows(calls: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:

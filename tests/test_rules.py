@@ -136,3 +136,42 @@ def test_spans_are_sent_once(spark, telemetry, tmp_path):
     assert spark.read.parquet(folder).count() == told.spans
     after = Tables({**telemetry.frames, "span_delivery": ledger})
     assert undelivered(after, "other").count() == due - len(rows)
+
+
+def test_gaps_do_not_depend_on_zone_or_pieces(monkeypatch):
+    import time
+
+    import pandas as pd
+
+    from sessionlake.streaming.refresh import GapDetector
+
+    class Held:
+        value = None
+
+        def get(self):
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    monkeypatch.setenv("TZ", "America/Caracas")
+    time.tzset()
+    try:
+        detector = GapDetector(min_idle_seconds=10)
+        detector.last = Held()
+        second = 1_000_000
+        calls = pd.DataFrame(
+            [(0, 0), (30, 3), (30, 2), (5, 1), (31, 4)], columns=["at", "index"]
+        ).assign(cache_creation_tokens=[0, 3, 2, 1, 4], reloaded=True, cached=[True, False, True, False, False])
+        calls["at"] *= second
+        pieces = iter([calls.iloc[:2], calls.iloc[2:]])
+        got = pd.concat(detector.handleInputRows(("s", "main"), pieces, None))
+        assert got[["gap_start", "started_at", "idle_seconds", "rebuilt_tokens", "cached_1h"]].values.tolist() == [
+            [5 * second, 30 * second, 25, 2, False]
+        ]
+        later = calls.iloc[:1].assign(at=60 * second, index=5)
+        got = pd.concat(detector.handleInputRows(("s", "main"), iter([later]), None))
+        assert got["idle_seconds"].tolist() == [29] and detector.last.value == (60 * second, True)
+    finally:
+        monkeypatch.undo()
+        time.tzset()

@@ -175,3 +175,16 @@ def test_arriving_files_wake_a_refresh(spark, tmp_path):
         assert query.exception() is None
         assert store.tables()["turns"].count() == turns, session
         write(root / "-p" / "n2.jsonl", [user("k2", 1, "second")])
+
+
+def test_a_grown_file_is_read_again(spark, tmp_path):
+    from sessionlake.streaming.refresh import refresh_stream
+
+    root = tmp_path / "projects"
+    store = Store(spark, str(tmp_path / "store"), buckets=2)
+    for turns in (1, 2):
+        write(root / "-p" / "n1.jsonl", [user(f"k{k}", k, "said") for k in range(1, turns + 1)])
+        query = refresh_stream(spark, store, str(root), str(tmp_path / "cp"))
+        query.awaitTermination(200)
+        assert query.exception() is None
+        assert store.tables()["turns"].count() == turns
