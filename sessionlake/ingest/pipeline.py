@@ -9,13 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.ingest import entities, lines as L
-from sessionlake.ingest.records import (
-    ARCHIVED_KINDS,
-    PARSED_KINDS,
-    RECORD,
-    SYSTEM_SUBTYPES,
-    parsed,
-)
+from sessionlake.ingest.records import parsed
 from sessionlake.operators.windows import THREAD
 from sessionlake.session import keep
 
@@ -102,40 +96,3 @@ def missing_fields(placed: DataFrame) -> DataFrame:
     return placed.select(
         "session_id", F.explode(found).alias("rule"), L.place("source", "line_no").alias("detail")
     )
-
-
-def unknown_kinds(read: DataFrame) -> DataFrame:
-    """Kinds nothing declares: archived all the same, with where each was first seen."""
-    subtype = F.col("rec.subtype")
-    kind = F.when(
-        (F.col("kind") == "system") & ~subtype.isin(*SYSTEM_SUBTYPES),
-        F.concat(F.lit("system/"), subtype),
-    ).when(~F.col("kind").isin(*PARSED_KINDS, *ARCHIVED_KINDS), F.col("kind"))
-    return _tally(read.withColumn("name", kind).filter(F.col("name").isNotNull()))
-
-
-def unknown_fields(read: DataFrame) -> DataFrame:
-    """Top-level fields of a read kind that no declaration names."""
-    declared = [
-        w.split()[0] for w in RECORD.replace("\n", " ").split(",") if w.split() and ":" not in w
-    ]
-    named = F.json_object_keys("raw")
-    # Fields every record carries that nothing reads.
-    carried = ("sessionId", "userType", "toolUseResult", "promptId", "slug", "level")
-    odd = F.array_except(named, F.array(*[F.lit(n) for n in (*declared, *carried)]))
-    return _tally(
-        read.filter(F.col("kind").isin(*PARSED_KINDS)).select(
-            *THREAD, "line_no", F.explode(odd).alias("_f"), "kind"
-        ).withColumn("name", F.concat("kind", F.lit("."), "_f"))
-    )
-
-
-def _tally(rows: DataFrame) -> DataFrame:
-    first = F.min(F.struct("session_id", "source", "line_no"))
-    per_session = rows.groupBy("name", "session_id").agg(
-        F.count(F.lit(1)).alias("lines"), first.alias("first")
-    )
-    return per_session.groupBy("name").agg(
-        F.sum("lines").alias("lines"), F.count(F.lit(1)).alias("sessions"),
-        F.min("first").alias("first_seen"),
-    )

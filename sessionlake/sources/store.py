@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from dataclasses import dataclass
 
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlake import schema
-from sessionlake.ingest.pipeline import extract, unknown_fields, unknown_kinds
+from sessionlake.ingest.pipeline import extract
+from sessionlake.ingest.unknown import unknown_fields, unknown_kinds
 from sessionlake.operators.quality import shape_differences
 from sessionlake.operators.relations import Tables
 from sessionlake.sources.discover import (
@@ -26,108 +28,191 @@ BUCKETS = 4096
 EXTRACTOR = "transcripts"
 EXTRACTOR_VERSION = "1"
 SCHEMA_VERSION = 11
+#: The folders of a relation are named by this; no relation has a column of the name.
+WRITE = "write_id"
 
 
 def bucket_of(session: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(session), F.lit(buckets)).cast("int")
 
 
+class Busy(RuntimeError):
+    """Other writers committed first, as often as was tried."""
+
+
 class Store:
     """Relations under one root. Every write makes a new version; a manifest names the current one.
 
-    A version holds only the buckets a write replaced, and the manifest says which version each
-    bucket is read from. Readers see the old manifest or the new one, never half a write.
+    A version holds only the buckets a write replaced. A manifest is one file, named by its number
+    and the schema version its rows are in, that says for each relation and bucket which version it
+    is read from. It is written aside and then renamed into place, which fails where its number is
+    taken: of two writers that began from the same state one commits and the other starts over, and
+    readers see the old manifest or the new one, never half a write.
     """
 
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS) -> None:
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
 
-    def _manifests(self) -> str:
-        return f"{self.root}/manifests"
-
-    def _exists(self, path: str) -> bool:
+    def _files(self):
         jvm = self.spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    def manifest(self) -> DataFrame | None:
+    def _last(self) -> tuple[int, int, str] | None:
+        """(number, schema version, file) of the newest manifest."""
+        path, files = self._files()
+        if not files.exists(path):
+            return None
+        names = [f.getPath().getName() for f in files.listStatus(path)]
+        found = [(int(m[1]), int(m[2]), n) for n in names if (m := re.fullmatch(r"(\d+)-v(\d+)\.csv", n))]
+        if not found:
+            return None
+        number, version, name = max(found)
+        if version > SCHEMA_VERSION:
+            raise ValueError(f"store version {version} is newer than {SCHEMA_VERSION}")
+        return number, version, f"{self.root}/manifests/{name}"
+
+    def manifest(self, last: tuple[int, int, str] | None = None) -> DataFrame | None:
         """(relation, bucket, version) as the last finished write left it."""
-        if not self._exists(self._manifests()):
+        last = last or self._last()
+        if last is None:
             return None
-        rows = self.spark.read.parquet(self._manifests())
-        last = rows.agg(F.max("seq").alias("seq"))
-        return rows.join(F.broadcast(last), "seq", "left_semi")
+        return self.spark.read.schema("relation STRING, bucket INT, version STRING").csv(last[2])
 
-    def table(self, name: str) -> DataFrame:
-        """A relation as it stands: each bucket from the version that last replaced it."""
+    def _placed(self, name: str, last: tuple[int, int, str] | None, buckets: list[int] | None) -> DataFrame:
+        """A relation's rows with their bucket; only the folders of `buckets` are opened."""
         shape = schema.ALL_TABLES[name]
-        empty = self.spark.createDataFrame([], shape)
-        manifest = self.manifest()
-        if manifest is None:
+        empty = self.spark.createDataFrame([], T.StructType([*shape.fields, T.StructField("bucket", T.IntegerType())]))
+        if last is None:
             return empty
-        current = manifest.filter(F.col("relation") == name)
-        # One row per version still in use: bounded by the writes since buckets were last whole.
+        current = self.manifest(last).filter(F.col("relation") == name)
+        if buckets is not None:
+            current = current.filter(F.col("bucket").isin(buckets))
+        # One row per version still in use: bounded by the writes since the store was merged.
         versions = [r.version for r in current.select("version").distinct().collect()]
         if not versions:
             return empty
         base = f"{self.root}/tables/{name}"
-        placed = T.StructType(
-            [*shape.fields, T.StructField("version", T.StringType()),
-             T.StructField("bucket", T.IntegerType())]
-        )
-        rows = (
-            self.spark.read.option("basePath", base)
-            .schema(placed)
-            .parquet(*[f"{base}/version={v}" for v in versions])
-        )
-        live = current.select("version", "bucket")
-        return rows.join(live, ["version", "bucket"], "left_semi").select(*shape.names)
-
-    def tables(self) -> Tables:
-        return Tables({n: (lambda n=n: self.table(n)) for n in schema.ALL_TABLES})
-
-    def replace(self, tables: dict[str, DataFrame], sessions: DataFrame) -> None:
+        place = [T.StructField(WRITE, T.StringType()), T.StructField("bucket", T.IntegerType())]
+        reader = self.spark.read.option("basePath", base)
+        if last[1] == SCHEMA_VERSION:
+            reader = reader.schema(T.StructType([*shape.fields, *place]))
+        else:
+            reader = reader.option("mergeSchema", "true")
+        rows = reader.parquet(*[f"{base}/{WRITE}={v}" for v in versions])
+        if buckets is not None:
+            rows = rows.filter(F.col("bucket").isin(buckets))
+        live = current.select(F.col("version").alias(WRITE), "bucket")
+        return rows.join(live, [WRITE, "bucket"], "left_semi").drop(WRITE)
+
+    def _current(self, name: str, last: tuple[int, int, str] | None, buckets: list[int] | None = None) -> DataFrame:
+        """As `_placed`, in today's columns also where the store is of an older version."""
+        rows = self._placed(name, last, buckets)
+        if last is None or last[1] == SCHEMA_VERSION:
+            return rows
+        runs = None
+        if name == "compactions":
+            runs = migrated(self._placed("agent_runs", last, buckets).drop("bucket"), "agent_runs", last[1])
+        at = bucket_of(F.col(schema.session_column(name)), self.buckets)
+        return migrated(rows.drop("bucket"), name, last[1], runs).withColumn("bucket", at)
+
+    def _buckets_of(self, sessions: list[str]) -> list[int]:
+        ids = self.spark.createDataFrame([(s,) for s in sessions], "session_id string")
+        return sorted({r[0] for r in ids.select(bucket_of(F.col("session_id"), self.buckets)).collect()})
+
+    def table(self, name: str, sessions: list[str] | None = None) -> DataFrame:
+        """A relation as it stands: each bucket from the version that last replaced it. Of `sessions`
+        only, where given: just their buckets are opened, and in them just their row groups."""
+        last = self._last()
+        if sessions is None:
+            rows = self._current(name, last)
+        else:
+            rows = self._current(name, last, self._buckets_of(sessions))
+            rows = rows.filter(F.col(schema.session_column(name)).isin(sessions))
+        return rows.select(*schema.ALL_TABLES[name].names)
+
+    def tables(self, sessions: list[str] | None = None) -> Tables:
+        return Tables({n: (lambda n=n: self.table(n, sessions)) for n in schema.ALL_TABLES})
+
+    def replace(self, tables: dict[str, DataFrame], sessions: DataFrame, tries: int = 5) -> None:
         """Puts the given sessions' rows in place of whatever the store holds of them.
 
         Buckets those sessions fall in are written anew with their other sessions' rows; the
         manifest naming them is written last.
         """
-        version = uuid.uuid4().hex
-        ids = sessions.select("session_id").distinct()
-        touched = ids.select(bucket_of(F.col("session_id"), self.buckets).alias("bucket")).distinct()
-        touched = keep(touched, "touched_buckets")
-        before = self.manifest()
         for name, new in tables.items():
-            column = schema.session_column(name)
             drift = shape_differences(new, name)
             if drift:
                 raise ValueError(f"{name}: {', '.join(drift)}")
-            at = bucket_of(F.col(column), self.buckets)
-            named = ids.withColumnRenamed("session_id", column)
-            held = (
-                self.table(name).withColumn("bucket", at)
-                .join(touched, "bucket", "left_semi")
-                .join(named, column, "left_anti")
-            )
-            rows = held.unionByName(new.withColumn("bucket", at))
-            (
-                rows.repartition(F.col("bucket"), bucket_salt(name))
-                .write.partitionBy("bucket").mode("errorifexists")
-                .parquet(f"{self.root}/tables/{name}/version={version}")
-            )
-        changed = touched.select(
-            F.explode(F.array(*[F.lit(n) for n in tables])).alias("relation"), "bucket",
-            F.lit(version).alias("version"),
-        )
-        seq = 1
-        if before is not None:
-            kept = before.join(changed, ["relation", "bucket"], "left_anti")
-            seq = before.agg(F.max("seq")).first()[0] + 1
-            changed = changed.unionByName(kept.select("relation", "bucket", "version"))
-        changed.withColumn("seq", F.lit(seq)).coalesce(1).write.mode("append").parquet(
-            self._manifests()
+        ids = sessions.select("session_id").distinct()
+        at = bucket_of(F.col("session_id"), self.buckets)
+        # As many numbers as there are buckets at most.
+        touched = sorted(r[0] for r in ids.select(at).distinct().collect())
+        for _ in range(tries):
+            last = self._last()
+            if last is not None and last[1] < SCHEMA_VERSION:
+                self.merge()
+                continue
+            version = uuid.uuid4().hex
+            for name, new in tables.items():
+                column = schema.session_column(name)
+                named = ids.withColumnRenamed("session_id", column)
+                held = self._current(name, last, touched).join(named, column, "left_anti")
+                self._write(held.unionByName(new.withColumn("bucket", bucket_of(F.col(column), self.buckets))), name, version)
+            if self._commit(last, {name: (version, touched) for name in tables}):
+                return
+        raise Busy(f"{self.root}: {tries} writes were overtaken")
+
+    def merge(self, tries: int = 5) -> None:
+        """Writes every relation anew as one version, in today's columns."""
+        for _ in range(tries):
+            last, version = self._last(), uuid.uuid4().hex
+            if last is None:
+                return
+            whole = {}
+            for name in schema.ALL_TABLES:
+                rows = self._current(name, last)
+                self._write(rows, name, version)
+                held = self.manifest(last).filter(F.col("relation") == name).select("bucket").distinct()
+                whole[name] = (version, sorted(r.bucket for r in held.collect()))
+            if self._commit(last, whole):
+                return
+        raise Busy(f"{self.root}: {tries} merges were overtaken")
+
+    def _write(self, rows: DataFrame, name: str, version: str) -> None:
+        """Rows of a session lie together in their bucket, so a reader of one skips the rest."""
+        (
+            rows.repartition(F.col("bucket"), bucket_salt(name))
+            .sortWithinPartitions("bucket", schema.session_column(name))
+            .write.partitionBy("bucket").mode("errorifexists")
+            .parquet(f"{self.root}/tables/{name}/{WRITE}={version}")
         )
 
+    def _commit(self, last: tuple[int, int, str] | None, changed: dict[str, tuple[str, list[int]]]) -> bool:
+        """Whether the manifest after `last` is ours. A manifest has a line per relation and bucket."""
+        held = {} if last is None else {(r.relation, r.bucket): r.version for r in self.manifest(last).collect()}
+        held |= {(name, b): version for name, (version, buckets) in changed.items() for b in buckets}
+        text = "".join(f"{name},{bucket},{version}\n" for (name, bucket), version in sorted(held.items()))
+        folder, files = self._files()
+        files.mkdirs(folder)
+        jvm = self.spark.sparkContext._jvm
+        number = 1 if last is None else last[0] + 1
+        aside = jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
+        out = files.create(aside, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        place = jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}-v{SCHEMA_VERSION}.csv")
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        qualified = lambda p: files.makeQualified(p)
+        try:
+            context.rename(qualified(aside), qualified(place), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
+        except Exception as error:
+            files.delete(aside, False)
+            if files.exists(place):
+                return False
+            raise error
+        return True
+
 
 def bucket_salt(name: str) -> Column:
     """Spreads one bucket's rows of a fat relation over several tasks, so a huge session is split."""
@@ -220,14 +305,6 @@ def session_bundle(t: Tables, names: list[str] | None = None) -> dict[str, DataF
     }
 
 
-# Column moves between schema versions, each a change to one relation: how a stored older frame
-# becomes today's. The versions at which each change was made.
-MIGRATIONS: dict[int, tuple[str, str]] = {
-    8: ("agent_runs", "rename description to brief"),
-    9: ("compactions", "add replayed"),
-}
-
-
 def migrated(df: DataFrame, table: str, held_version: int, runs: DataFrame | None = None) -> DataFrame:
     """A stored relation of an older version in today's columns."""
     if held_version > SCHEMA_VERSION:

@@ -85,6 +85,7 @@ def test_refresh_reads_rejects_and_skips(spark, recordings, tmp_path):
     assert {("s2", "unparseable line"), ("s3", "uuid with two contents"),
             ("s4", "unknown leading tag"), ("s6", "transcript or description alone")} <= rules
     assert [r.name for r in done.kinds.collect()] == ["mystery"]
+    assert done.fields.collect() == []
 
     t = store.tables()
     turns = {(r.source, r.id): r for r in t["turns"].filter("session_id = 's1'").collect()}
@@ -188,3 +189,71 @@ def test_a_grown_file_is_read_again(spark, tmp_path):
         query.awaitTermination(200)
         assert query.exception() is None
         assert store.tables()["turns"].count() == turns
+
+
+def test_undeclared_fields_are_named_by_path(spark):
+    from sessionlake.ingest.records import parsed
+    from sessionlake.ingest.unknown import unknown_fields
+
+    records = [
+        {"type": "user", "odd": 1, "origin": {"kind": "human", "who": 2}, "message": {"role": "user", "content": [
+            {"type": "tool_result", "tool_use_id": "t", "content": "x", "extra": 1}, {"type": "mystery", "y": 1}]}},
+        {"type": "assistant", "message": {"role": "assistant", "usage": {"input_tokens": 1, "new": {}, "cache_creation": {"z": 1}}}},
+        {"type": "mode", "whatever": 1},
+    ]
+    rows = [("s", "main", k, json.dumps(r)) for k, r in enumerate(records)]
+    lines = parsed(spark.createDataFrame(rows, "session_id string, source string, line_no int, raw string"))
+    assert {r.name for r in unknown_fields(lines).collect()} == {
+        "user.odd", "user.origin.who", "user.message.content.tool_result.extra",
+        "assistant.message.usage.new", "assistant.message.usage.cache_creation.z",
+    }
+
+
+def tags(spark, pairs):
+    from sessionlake import schema
+
+    rows = spark.createDataFrame([(s, "k", v) for s, v in pairs], "session_id string, key string, value string")
+    return {"session_tags": rows.select(*schema.ALL_TABLES["session_tags"].names)}, rows.select("session_id")
+
+
+def test_two_writers_and_a_merge(spark, tmp_path, monkeypatch):
+    store = Store(spark, str(tmp_path / "store"), buckets=3)
+    store.replace(*tags(spark, [(f"s{k}", "a") for k in range(9)]))
+    write_once, met = Store._write, []
+
+    def overtaken(self, rows, name, version):
+        write_once(self, rows, name, version)
+        if not met:  # another writer commits while this one still writes
+            met.append(1)
+            Store(spark, str(tmp_path / "store"), buckets=3).replace(*tags(spark, [("s1", "b"), ("s8", "b")]))
+
+    monkeypatch.setattr(Store, "_write", overtaken)
+    store.replace(*tags(spark, [("s2", "c")]))
+    want = {f"s{k}": "a" for k in range(9)} | {"s1": "b", "s8": "b", "s2": "c"}
+    read = lambda: {r.session_id: r.value for r in store.table("session_tags").collect()}
+    assert read() == want
+    store.merge()
+    assert read() == want
+    assert store.manifest().filter("relation = 'session_tags'").select("version").distinct().count() == 1
+    one = store.table("session_tags", ["s2"])
+    assert [r.value for r in one.collect()] == ["c"]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "bucket#" in plan.split("PartitionFilters")[1][:200]
+
+
+def test_a_newer_store_is_refused_and_an_older_one_migrated(spark, tmp_path):
+    root = tmp_path / "store"
+    store = Store(spark, str(root), buckets=2)
+    store.replace(*tags(spark, [("s1", "a"), ("s2", "a")]))
+    (name,) = (root / "manifests").glob("*.csv")
+    older = name.with_name(name.name.replace("-v11", "-v7"))
+    older.write_text(name.read_text())
+    name.unlink()
+    assert store.table("session_tags").count() == 2
+    store.replace(*tags(spark, [("s1", "b")]))
+    assert sorted(r.value for r in store.table("session_tags").collect()) == ["a", "b"]
+    assert store._last()[1] == 11
+    last = max((root / "manifests").glob("*.csv"))
+    last.with_name("000000000099-v12.csv").write_text(last.read_text())
+    with pytest.raises(ValueError, match="newer"):
+        store.table("session_tags")
