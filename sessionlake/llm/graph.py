@@ -31,3 +31,24 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels = new.select("node", "label")
         if not moved:
             return labels
+
+
+def apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b, class_a, class_b) of those pairs whose ends are of different classes so far; a node
+    that `classes` lacks is its own class."""
+    of = lambda end: classes.select(F.col("node").alias(end), F.col("label").alias(f"class_{end}"))
+    known = pairs.join(of("b"), "b", "left").join(of("a"), "a", "left")
+    classed = known.select(
+        "a", "b", F.coalesce("class_a", "a").alias("class_a"), F.coalesce("class_b", "b").alias("class_b")
+    )
+    return classed.where(F.col("class_a") != F.col("class_b"))
+
+
+def grown(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """`classes` with those made one that `links` (a, b) join; only classes are nodes here, so the
+    links of a large class among its own members cost nothing again."""
+    between = apart(links, classes).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    found = components(between)
+    over = found.select(F.col("node").alias("label"), F.col("label").alias("over"))
+    old = classes.join(over, "label", "left").select("node", F.coalesce("over", "label").alias("label"))
+    return keep(old.unionByName(found.join(classes, "node", "left_anti")), "classes")

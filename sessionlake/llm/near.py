@@ -8,9 +8,10 @@ latest first arrival of any component, so most are dropped after one. Two signat
 component with the probability Jaccard similarity of the texts.
 
 Equal texts are one from the start, so copies never meet in pairs. Texts that agree in a whole band
-share a bucket. In each bucket all are compared with its least member; whatever bucket then still
+share a bucket. Each text is first compared with one partner, the least among the least members of
+its buckets, then with the others of those that are not in its class yet; whatever bucket then still
 holds texts of different classes is searched through, block against block, for pairs across
-classes, so no link is lost to the shortcut. Every pair is verified on its texts: linked if their
+classes, so no link between classes is lost to the shortcut. Every pair is verified on its texts: linked if their
 probability Jaccard or the plain Jaccard of their shingle sets is at least `threshold`. At 0.8, a
 pair misses all 28 bands of 5 with a probability of 0.00002.
 
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sessionlake.llm.common import fingerprint, fresh, id_and_text, quoted, slices
-from sessionlake.llm.graph import components
+from sessionlake.llm.graph import apart, components, grown
 from sessionlake.llm.words import mix, runs, word_hashes
 from sessionlake.session import keep
 
@@ -166,21 +167,23 @@ def similarity(a: Bag, b: Bag) -> tuple[float, float]:
     return float((1 / (above / wa + below / wb)).sum()), len(ia) / union
 
 
-def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Those of `pairs` (a, b) that are linked, judged on their texts."""
-    texts = id_and_text(docs).select(fingerprint(F.col("text")).alias("fp"), "doc_id", "text")
+def with_texts(rows: DataFrame, docs: DataFrame, reps: DataFrame, *ends: str) -> DataFrame:
+    """`rows` with the text of each of their fingerprint columns `ends` beside it as `text_…`."""
+    texts = id_and_text(docs).select(fingerprint(F.col("text")).alias("own_fp"), F.col("doc_id").alias("own_id"), "text")
     named = reps.select("fp", F.col("rep.doc_id").alias("rep_id"))
-    ends = pairs.join(named.withColumnsRenamed({"fp": "a", "rep_id": "a_id"}), "a")
-    ends = keep(ends.join(named.withColumnsRenamed({"fp": "b", "rep_id": "b_id"}), "b"), "pairs")
+    for end in ends:
+        rows = rows.join(named.withColumnsRenamed({"fp": end, "rep_id": f"id_{end}"}), end)
+    rows = keep(rows, "pairs")
+    for end in ends:
+        # One document stands for all of a text, so copies are not met again here.
+        same = (F.col(end) == F.col("own_fp")) & F.col(f"id_{end}").eqNullSafe(F.col("own_id"))
+        rows = rows.join(texts.withColumnRenamed("text", f"text_{end}"), same).drop("own_fp", "own_id", f"id_{end}")
+    return rows
 
-    def with_text(rows: DataFrame, end: str) -> DataFrame:
-        text = texts.select(
-            F.col("fp").alias(f"{end}_fp"), F.col("doc_id").alias(f"{end}_own"), F.col("text").alias(f"text_{end}")
-        )
-        same = (F.col(end) == F.col(f"{end}_fp")) & F.col(f"{end}_id").eqNullSafe(F.col(f"{end}_own"))
-        return rows.join(text, same).drop(f"{end}_fp", f"{end}_own", f"{end}_id")
 
-    both = with_text(with_text(ends, "b"), "a").select("a", "b", "text_a", "text_b")
+def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Those of `pairs` (a, b) that are linked, judged on their texts."""
+    both = with_texts(pairs, docs, reps, "b", "a").select("a", "b", "text_a", "text_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text_b"):
@@ -204,11 +207,68 @@ def verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, threshold: floa
     return keep(both.mapInArrow(run, "a binary, b binary"), "linked")
 
 
-def crossing(buckets: DataFrame, classes: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket in different classes whose signatures agree enough.
+def bags(texts: DataFrame, docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(fp, bag) for fingerprints `texts` (fp): 32-bit hashes of the shingles, sorted, and weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, "text_fp"):
+            text, shingle, weight = weighted_shingles(batch.column("text_fp"))
+            short = (shingle >> np.uint64(32)).astype("<u4")
+            order = np.lexsort((short, text))
+            text, short, weight = text[order], short[order], weight[order].astype("<f4")
+            once = np.ones(len(text), bool)
+            once[1:] = (text[1:] != text[:-1]) | (short[1:] != short[:-1])
+            text, short, weight = text[once], short[once], weight[once]
+            cuts = np.searchsorted(text, np.arange(batch.num_rows + 1))
+            found = [short[x:y].tobytes() + weight[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("fp"), pa.array(found, pa.binary())], ["fp", "bag"])
+
+    read = with_texts(texts, docs, reps, "fp").select("fp", "text_fp")
+    return keep(read.mapInArrow(run, "fp binary, bag binary"), "bags")
+
+
+def bag_of(raw: bytes) -> Bag:
+    n = len(raw) // 8
+    return np.frombuffer(raw, "<u4", n), np.frombuffer(raw, "<f4", n, 4 * n).astype(float)
+
+
+#: What 32-bit hashes may be off by.
+COARSE = 0.005
+
+
+class Block:
+    """Members of a bucket side by side."""
+
+    def __init__(self, members: pa.StructArray) -> None:
+        self.fp = members.field("fp").to_pylist()
+        self.cls = np.array(members.field("cls").to_pylist(), object)
+        self.sig = matrix(members.field("sig"))
+        self.bands = members.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+        self.bags = [bag_of(b) for b in members.field("bag").to_pylist()]
+
+    def near(self, k: int, other: Block, key: int, least: int, threshold: float) -> list[int]:
+        """Members of `other` to verify with member `k`: in another class, first met in this bucket,
+        about `threshold` near or nearer. Of a class that surely is near, the nearest is enough."""
+        bands = other.bands == self.bands[k]
+        first = np.take_along_axis(other.bands, bands.argmax(1)[:, None], 1)[:, 0] == key
+        close = (other.sig == self.sig[k]).sum(1) >= least
+        likely = np.flatnonzero(close & first & (other.cls != self.cls[k]))
+        found: dict[bytes, list[tuple[float, int]]] = {}
+        for j in likely.tolist():
+            how = max(similarity(self.bags[k], other.bags[j]))
+            if how >= threshold - COARSE:
+                found.setdefault(other.cls[j], []).append((how, j))
+        best = {c: max(m) for c, m in found.items()}
+        sure = threshold + COARSE
+        return [j for c, m in found.items() for how, j in m if best[c][0] < sure or (how, j) == best[c]]
+
+
+def crossing(buckets: DataFrame, classes: DataFrame, docs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one bucket in different classes to verify, as many as it takes to join classes.
 
     In each bucket the members of its largest class are not compared with each other; the others are
-    compared with them and among themselves, in blocks, so that no bucket lands in one task whole."""
+    compared with them and among themselves, in blocks, so that no bucket lands in one task whole.
+    A pair is looked at in the first bucket that it shares, by signature and then by shingles."""
     own = buckets.join(classes, buckets["fp"] == classes["node"], "left").select(
         "key", "fp", F.coalesce("label", "fp").alias("cls")
     )
@@ -224,14 +284,18 @@ def crossing(buckets: DataFrame, classes: DataFrame, reps: DataFrame, threshold:
     blocks = lambda n: F.pmod(F.xxhash64("fp"), F.ceil(n / BLOCK)).cast("int")
     minor = F.col("cls") != F.col("main")
     others = F.col("all") - F.col("mains")
-    held = own.join(opened, "key").select(
-        "key", "fp", "cls", minor.alias("minor"),
-        F.when(minor, blocks(others)).otherwise(blocks(F.col("mains"))).alias("block"),
+    held = keep(
+        own.join(opened, "key").select(
+            "key", "fp", "cls", minor.alias("minor"),
+            F.when(minor, blocks(others)).otherwise(blocks(F.col("mains"))).alias("block"),
+        ),
+        "open",
     )
+    facts = reps.select("fp", "sig", "bands").join(bags(held.select("fp").distinct(), docs, reps), "fp")
     grouped = keep(
-        held.join(reps.select("fp", "sig"), "fp")
+        held.join(facts, "fp")
         .groupBy("key", "minor", "block")
-        .agg(F.collect_list(F.struct("fp", "cls", "sig")).alias("members")),
+        .agg(F.collect_list(F.struct("fp", "cls", "sig", "bands", "bag")).alias("members")),
         "blocks",
     )
     left = grouped.where("minor").select("key", F.col("block").alias("left_block"), F.col("members").alias("one"))
@@ -241,23 +305,18 @@ def crossing(buckets: DataFrame, classes: DataFrame, reps: DataFrame, threshold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                one, two = batch.column("one")[k].values, batch.column("two")[k].values
-                sigs, with_sigs = matrix(one.field("sig")), matrix(two.field("sig"))
-                ones, twos = one.field("fp").to_pylist(), two.field("fp").to_pylist()
-                kinds = np.array(one.field("cls").to_pylist(), object)
-                others = np.array(two.field("cls").to_pylist(), object)
+            for k, key in enumerate(batch.column("key").to_pylist()):
+                one, two = Block(batch.column("one")[k].values), Block(batch.column("two")[k].values)
                 pairs = [
-                    tuple(sorted((ones[i], twos[int(j)])))
-                    for i in range(len(ones))
-                    for j in np.flatnonzero(((sigs[i] == with_sigs).sum(1) >= least) & (others != kinds[i]))
+                    sorted((one.fp[i], two.fp[j]))
+                    for i in range(len(one.fp))
+                    for j in one.near(i, two, key, least, threshold)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())],
-                    ["a", "b"],
+                    [pa.array([p[side] for p in pairs], pa.binary()) for side in (0, 1)], ["a", "b"]
                 )
 
-    return met.select("one", "two").mapInArrow(run, "a binary, b binary").distinct()
+    return keep(met.select("key", "one", "two").mapInArrow(run, "a binary, b binary").distinct(), "across")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -274,13 +333,16 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     members = reps.select("fp", F.explode("bands").alias("key"))
     centres = members.groupBy("key").agg(F.min("fp").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1")
     buckets = keep(members.join(centres, "key").select("key", "fp", "a"), "buckets")
-    stars = buckets.where(F.col("fp") != F.col("a")).select("a", F.col("fp").alias("b")).distinct()
-    links = verified(agreeing(stars, reps, threshold), docs, reps, threshold)
-    classes = components(links)
-    across = keep(crossing(buckets.select("key", "fp"), classes, reps, threshold), "across")
+    stars = buckets.where(F.col("fp") != F.col("a"))
+    # First one partner each, the least; most copies have found their class then. Next the other
+    # partners, where classes still differ, and last whatever else a bucket holds apart.
+    nearest = stars.groupBy(F.col("fp").alias("b")).agg(F.min("a").alias("a"))
+    classes = components(verified(agreeing(nearest, reps, threshold), docs, reps, threshold))
+    others = apart(stars.select("a", F.col("fp").alias("b")).distinct(), classes).select("a", "b")
+    classes = grown(classes, verified(agreeing(others, reps, threshold), docs, reps, threshold))
+    across = crossing(buckets.select("key", "fp"), classes, docs, reps, threshold)
     if across.limit(1).count():
-        links = links.union(verified(across, docs, reps, threshold))
-        classes = components(links)
+        classes = grown(classes, verified(across, docs, reps, threshold))
     labelled = reps.select("fp", "rep").join(classes, reps["fp"] == classes["node"], "left").select(
         "fp", F.coalesce("label", "fp").alias("cls"), F.struct("rep.void", "rep.doc_id", "fp").alias("first")
     )
