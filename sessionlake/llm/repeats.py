@@ -1,18 +1,21 @@
-"""Substring dedup by hashed lines or paragraphs.
-
-A text is cut into units: lines, or paragraphs (what stands between empty lines). A unit is
-normalised (white space gone at the ends and one blank inside, lower case) and hashed to 16 bytes.
-Of all equal units in the corpus the earliest stays: the one in the document with the least id (null
-last; among equal ids the least fingerprint), and there the one that stands first. The others are
-cut out of their documents with the line feeds after them; where they stood is kept as (start, end)
-in characters of the text as it came. Units of fewer than `min_words` words are never removed, as
-short lines repeat by chance.
-
-The earliest is a minimum, taken before the shuffle, so a line that stands in a third of all
-documents is one row a task. Only digests that do repeat meet their occurrences again, in a join
-whose hot keys Spark can split. Null text stays null and has no units. Rows with equal doc_id and
-text are one document given several times: all get the same result. Only `doc_id` and `text` are
-read; a document's other columns are carried along.
+"""Substring dedup by hashed units: lines, paragraphs, or the sentences of lines.
+
+A text is cut into units: lines, paragraphs (what stands between empty lines), or lines cut further
+where a sentence ends. A unit is normalised (white space gone at the ends and one blank inside, lower
+case) and hashed to 16 bytes. Of all equal units in the corpus the earliest stays: the one in the
+document with the least id (null last; among equal ids the least fingerprint), and there the one
+that stands first. The others are cut out of their documents with the white space after them; where
+they stood is kept as (start, end) in characters of the text as it came.
+
+Short units repeat by chance. One of fewer than `min_words` words is therefore hashed with what
+stands before it, back to the last long unit: it goes only where it follows the same words as
+somewhere else, and never where no long unit stands before it.
+
+Eight bytes of the hash decide which units can repeat at all; just those are grouped by the whole
+hash. Minima and counts are taken before the shuffle, so a line that stands in a third of all
+documents is one row a task, and joins meet it in parts that Spark can split. Null text stays null
+and has no units. Rows with equal doc_id and text are one document given several times: all get the
+same result. Only `doc_id` and `text` are read; a document's other columns are carried along.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,31 +33,38 @@ from pyspark.sql import types as T
 from sessionlake.llm.common import fingerprint, fresh, id_and_text, quoted, slices
 from sessionlake.session import keep
 
-MIN_WORDS = 8
+UNIT, MIN_WORDS = "sentence", 6
 
 #: What parts two units.
-CUTS = {"line": re.compile(r"\n"), "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+")}
+CUTS = {
+    "line": re.compile(r"\n"),
+    "paragraph": re.compile(r"\n(?:[^\S\n]*\n)+"),
+    "sentence": re.compile(r"(?<=[.!?])[^\S\n]+|\n"),
+}
 
 
-def units_of(text: str, unit: str = "line", min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
-    """(digest, start, end) of the units with enough words; `end` is past the cut after the unit."""
-    found, at = [], 0
+def units_of(text: str, unit: str = UNIT, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """(digest, start, end) of the units that may go; `end` is past the cut after the unit."""
+    found, at, before = [], 0, b""
     cuts = [m.span() for m in CUTS[unit].finditer(text)]
     for low, high in [*cuts, (len(text), len(text))]:
         words = text[at:low].split()
-        if len(words) >= max(1, min_words):
-            digest = hashlib.md5(" ".join(words).lower().encode("utf-8", "surrogatepass")).digest()
-            found.append((digest, at, high))
+        if words and (before or len(words) >= min_words):
+            own = " ".join(words).lower().encode("utf-8", "surrogatepass")
+            before = hashlib.md5(own if len(words) >= min_words else before + own).digest()
+            found.append((before, at, high))
         at = high
     return found
 
 
-def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, fp, digest, start, end) of every unit with enough words, written once."""
+def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> DataFrame:
+    """(doc_id, fp, mark, digest, start, end) of every unit that may go, written once; `mark` is half
+    of the digest."""
     docs = id_and_text(docs)
     schema = T.StructType(
         [
-            docs.schema["doc_id"], T.StructField("fp", T.BinaryType()), T.StructField("digest", T.BinaryType()),
+            docs.schema["doc_id"], T.StructField("fp", T.BinaryType()),
+            T.StructField("mark", T.LongType()), T.StructField("digest", T.BinaryType()),
             T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
         ]
     )
@@ -69,7 +80,8 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Da
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(prints, pa.binary()),
-                    pa.array(digests, pa.binary()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
+                    pa.array(np.frombuffer(b"".join(digests), "<i8")[::2]), pa.array(digests, pa.binary()),
+                    pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
                 ],
                 schema.names,
             )
@@ -79,6 +91,8 @@ def units(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> Da
 
 def repeated(found: DataFrame) -> DataFrame:
     """(doc_id, fp, start, end, first_id) of the units that go; `first_id` has the one that stays."""
+    marks = found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    found = keep(found.join(marks, "mark", "left_semi"), "likely")
     void = F.col("doc_id").isNull().alias("void")
     place = F.struct(void, "doc_id", "fp", "start")
     # Rows that are one document several times must not make their units look repeated.
@@ -99,7 +113,7 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated units cut out of `text`, and two columns more: `removed`, the
     spans cut, and `first_ids`, the documents that keep what was cut, in the same order."""
     gone = repeated(units(docs, unit, min_words)).distinct()
@@ -109,16 +123,14 @@ def without_repeats(docs: DataFrame, unit: str = "line", min_words: int = MIN_WO
     marked = docs.withColumn(mark, fingerprint(F.col("text")))
     same = (marked[mark] == spans["gone_fp"]) & marked["doc_id"].eqNullSafe(spans["gone_id"])
 
-    @F.pandas_udf("string")
-    def cleaned(texts, all_spans):
-        import pandas as pd
-
-        return pd.Series(
+    @F.arrow_udf("string")
+    def cleaned(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array(
             [
-                t if s is None or t is None else cut(t, [(x["start"], x["end"]) for x in s])
-                for t, s in zip(texts, all_spans, strict=True)
+                cut(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if t.is_valid and s.is_valid else t.as_py()
+                for t, s in zip(texts, spans, strict=True)
             ],
-            dtype=object,
+            pa.string(),
         )
 
     pairs = F.transform("gone", lambda g: F.struct(g["start"].alias("start"), g["end"].alias("end")))

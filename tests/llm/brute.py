@@ -99,17 +99,19 @@ def rules(text):
     )
 
 
-def repeats(docs, min_words=8):
-    """(doc_id, start, end, first_id) of the lines that go. `docs` have different ids, no nulls."""
+def repeats(docs, min_words=6):
+    """(doc_id, start, end, first_id) of the sentences that go. `docs` have different ids, no nulls."""
     first, gone = {}, []
     for i, text in sorted(docs):
-        at = 0
-        for line in text.splitlines(keepends=True) if "\r" not in text else []:
-            key = " ".join(line.split()).lower()
-            if len(line.split()) >= min_words:
+        key, at = None, 0
+        for part in re.findall(r"[^\n]*?(?<=[.!?])[^\S\n]+|[^\n]*\n|[^\n]+$", text):
+            words = tuple(part.lower().split())
+            if words and (len(words) >= min_words or key):
+                key = words if len(words) >= min_words else (key, words)
                 if key in first:
-                    gone.append((i, at, at + len(line), first[key]))
+                    gone.append((i, at, at + len(part), first[key]))
                 else:
                     first[key] = i
-            at += len(line)
+            at += len(part)
+        assert at == len(text)
     return sorted(gone)

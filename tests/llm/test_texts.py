@@ -140,10 +140,26 @@ def test_repeats(documents, texts, odd, none):
     assert repeats.without_repeats(none).count() == 0
 
 
-def test_paragraphs():
+def test_units():
     text = "a b\nc\n \n\nd e\n\nf"
     assert [(s, e) for _, s, e in repeats.units_of(text, "paragraph", 1)] == [(0, 9), (9, 14), (14, 15)]
-    assert [(s, e) for _, s, e in repeats.units_of(text, "line", 2)] == [(0, 4), (9, 13)]
+    assert [(s, e) for _, s, e in repeats.units_of(text, "line", 1)] == [(0, 4), (4, 6), (9, 13), (14, 15)]
+    passage = "One two three four five six seven. Eight nine. Ten! Eleven twelve thirteen fourteen fifteen sixteen."
+    one = repeats.units_of(f"Short. {passage} Own words.\nNext")
+    two = repeats.units_of(f"Other words before it, which are long enough. {passage.upper()}\nMore")
+    shared = {d for d, _, _ in one} & {d for d, _, _ in two}
+    assert len(shared) == 4 and len(one) == 6
+    assert one[0][1] == len("Short. ") and one[3][2] == len(f"Short. {passage} ")
+
+
+def test_a_passage_inside_lines_goes_whole(spark):
+    passage = "This very passage has more than eight words in it. So it goes. Yes. And its last sentence is long as well, too."
+    docs = [(k, f"Document {k} begins with words of its own alone{k}. {passage} Its end{k}.\nLine {k}.") for k in range(40)]
+    found = repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string"))
+    for r in found.collect():
+        assert (passage in r.text) == (r.doc_id == 0)
+        if r.doc_id:
+            assert r.text == docs[r.doc_id][1].replace(passage + " ", "") and set(r.first_ids) == {0}
 
 
 def test_rules(documents, texts, odd, none):
