@@ -244,6 +244,18 @@ def test_importance_of_odd_rows_and_of_none(odd, none, labels):
     assert importance.resample(none, labels)[0].count() == 0 and importance.resampled(none, labels).count() == 0
 
 
+def test_fit_settles_also_where_nearly_all_is_told_apart():
+    rng = np.random.default_rng(8)
+    good = rng.random(6000) < 0.75
+    rows = np.stack(
+        [np.where(good, 0, -rng.exponential(0.3, 6000)), np.where(good, -rng.exponential(1, 6000), -30), rng.normal(5, 1, 6000)], 1
+    )
+    rows[:20, 0], rows[:20, 1] = -9, -1
+    weight = importance.fitted(rows, good.astype(float))(rows)
+    assert ((weight > 0) == good).mean() > 0.99
+    assert abs((1 / (1 + np.exp(-weight))).sum() - good.sum()) < 5
+
+
 def test_kth_largest(spark):
     rng = random.Random(9)
     values = [rng.choice([0.0, 1.5, rng.gauss(0, 1), 1e9]) for _ in range(3000)]
