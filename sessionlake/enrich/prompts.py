@@ -216,16 +216,17 @@ def plan(
         )
         asked = asked.join(above, ["session_id", "key"], "left_anti")
     heights = keep(rounds(t)[0], "run_rounds")
-    turns_after = F.create_map(F.lit("turn"), F.lit(1_000), F.lit("session"), F.lit(1_001))
+    rank = F.when(F.col("level") == "agent_run", 0).when(F.col("level") == "turn", 1).otherwise(2)
     placed = heights.select(
         "session_id", item_key("agent_run", F.col("session_id"), F.col("run_id")).alias("key"),
         "round",
     )
-    ordered = asked.join(placed, ["session_id", "key"], "left").withColumn(
-        "round", F.coalesce("round", F.try_element_at(turns_after, F.col("level")))
+    # Only runs have rounds, as many as their longest chain; a run in a ring has none and is not asked.
+    ordered = asked.join(placed, ["session_id", "key"], "left").withColumn("level_rank", rank).withColumn(
+        "round", F.when(F.col("level_rank") > 0, F.lit(0)).otherwise(F.col("round"))
     ).filter(F.col("round").isNotNull())
     if limit is not None:
-        ordered = ordered.orderBy("round", "key").limit(limit)
+        ordered = ordered.orderBy("level_rank", "round", "key").limit(limit)
     return ordered
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sessionlake.ingest import entities, lines as L
-from sessionlake.ingest.records import parsed
+from sessionlake.ingest.records import ADVISOR_RESULTS, RESULT_PARTS, odd_kind, parsed
 from sessionlake.operators.windows import THREAD
 from sessionlake.session import keep
 
@@ -88,6 +88,14 @@ def missing_fields(placed: DataFrame) -> DataFrame:
             | F.col("rec.compactMetadata.preTokens").isNull()
             | F.col("uuid").isNull()
         ),
+        "unknown result part": F.exists(
+            "blocks", lambda b: (b["type"] == "tool_result") & odd_kind(b["parts"], RESULT_PARTS)
+        ),
+        "unknown advisor result": F.exists(
+            "blocks",
+            lambda b: (b["type"] == "advisor_tool_result")
+            & odd_kind(F.array(b["content"]), ADVISOR_RESULTS),
+        ),
         "user record without content": (F.col("kind") == "user") & message["content"].isNull(),
     }
     found = F.array_compact(

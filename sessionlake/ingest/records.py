@@ -26,6 +26,9 @@ BLOCK_KINDS = (
     "text", "thinking", "tool_use", "server_tool_use", "advisor_tool_result", "fallback",
     "image", "tool_result",
 )
+# What a result in blocks is made of, and what an advisor's answer may be.
+RESULT_PARTS = ("text", "image", "tool_reference")
+ADVISOR_RESULTS = ("advisor_tool_result_error", "advisor_redacted_result")
 # Leading tags that keep a prompt a prompt, and tags written by the machine.
 TURN_TAGS = ("command-name", "command-message", "teammate-message")
 MACHINE_TAGS = ("task-notification", "local-command-stdout", "bash-stdout", "bash-input")
@@ -109,6 +112,12 @@ def text_of(block: Column) -> Column:
     return F.when(block["parts"].isNotNull(), joined).otherwise(block["content"])
 
 
+def odd_kind(members: Column, kinds: tuple[str, ...]) -> Column:
+    """Whether a list of objects has one of another kind; not where there is no list."""
+    kind = lambda m: F.coalesce(read_json(m, "type STRING")["type"], F.lit(""))
+    return F.coalesce(F.exists(members, lambda m: ~kind(m).isin(*kinds)), F.lit(False))
+
+
 def words_of(blocks: Column, kind: str, member: str) -> Column:
     """Every block of one kind in a record, its words joined in order."""
     return F.array_join(

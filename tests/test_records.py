@@ -38,3 +38,37 @@ def test_a_text_that_looks_like_a_list_stands_as_it_is(spark):
     read = parsed(spark.createDataFrame(lines, "raw string, k int")).select("k", F.explode("blocks").alias("b"))
     said = {r.k: r.text for r in read.select("k", text_of(F.col("b")).alias("text")).collect()}
     assert said == {0: contents[0], 1: "[]", 2: "", 3: "ab"}
+
+
+def test_unknown_parts_of_results_are_seen(spark):
+    from sessionlake.ingest.records import ADVISOR_RESULTS, RESULT_PARTS, odd_kind
+
+    rows = [
+        ([json.dumps({"type": "text"}), json.dumps({"type": "image"})], False), ([], False), (None, False),
+        ([json.dumps({"type": "text"}), json.dumps({"type": "video"})], True), ([json.dumps({"text": "x"})], True),
+    ]
+    df = spark.createDataFrame(rows, "parts array<string>, want boolean")
+    assert df.filter(odd_kind(F.col("parts"), RESULT_PARTS) != F.col("want")).count() == 0
+    told = F.array(F.lit('{"type":"advisor_tool_result_error","error_code":"x"}'))
+    assert not df.select(odd_kind(told, ADVISOR_RESULTS)).first()[0]
+
+
+def test_failed_calls_of_any_id_find_their_line(spark):
+    from sessionlake import schema
+    from sessionlake.operators.relations import Tables
+    from sessionlake.operators.sheets import error_records
+
+    ids = ["toolu_ab1", "call-7.x", "x y"]
+    raw = [("s", "main", k, json.dumps({"id": i})) for k, i in enumerate(ids, 1)] + [("s", "main", 9, json.dumps({"n": {"ref": "x y"}}))]
+
+    def table(name, rows):
+        shape = schema.ALL_TABLES[name]
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape.fields)
+        return spark.createDataFrame([tuple(r.get(c) for c in shape.names) for r in rows], kinds)
+
+    frames = {n: table(n, []) for n in schema.ALL_TABLES}
+    frames["raw_records"] = table("raw_records", [dict(zip(("session_id", "source", "line_no", "raw"), r, strict=True)) for r in raw])
+    base = {"session_id": "s", "source": "main", "name": "T", "is_error": True, "result": "no", "replayed": False}
+    frames["tool_calls"] = table("tool_calls", [base | {"id": i, "index": k} for k, i in enumerate(ids)])
+    found = {r.tool_call_id: r.line_no for r in error_records(Tables(frames)).collect()}
+    assert found == {"toolu_ab1": 1, "call-7.x": 2, "x y": 9}
