@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +16,25 @@ from pyspark.sql import functions as F
 #: Text handled at once inside a task; a longer text is a slice of its own.
 SLICE_BYTES = 1 << 20
 
+#: Rows that go to Python at once, and their bytes where Spark counts them. Texts are long; Spark's own
+#: bounds would hold several copies of 64 MiB a task.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def small_batches(docs: DataFrame) -> DataFrame:
+    """`docs`, after its session has been told to hand texts to Python in small batches."""
+    conf = docs.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return docs
+
+
+def release() -> None:
+    """Gives memory that a finished task has freed back to the machine, as workers live on."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
@@ -39,7 +60,7 @@ def fingerprint(text: Column) -> Column:
 
 def id_and_text(docs: DataFrame) -> DataFrame:
     """Just `doc_id` and `text`, null text as empty, whatever other columns there are."""
-    return docs.select(
+    return small_batches(docs).select(
         F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text")
     )
 
@@ -59,6 +80,7 @@ def slices(
             high = max(low + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(low, high - low)
             low = high
+    release()
 
 
 def task_number() -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fresh, quoted, slices, task_number
+from sessionlake.llm.common import fresh, quoted, slices, small_batches, task_number
 from sessionlake.llm.words import mix, word_hashes
 from sessionlake.session import keep
 
@@ -217,7 +217,7 @@ def _salted(docs: DataFrame, seed: int) -> tuple:
 
 def resample(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, seed: int = 17) -> tuple[DataFrame, Sampler]:
     """(doc_id, weight, key, kept) of every document, and the sampler that decides so."""
-    spark = docs.sparkSession
+    spark = small_batches(docs).sparkSession
     marks = keep(sampled_labels(labels, most_labels, seed), "labels")
     known = F.broadcast(marks)  # at most `most_labels` rows of an id and two small numbers
     text, salt = _salted(docs, seed)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fresh, id_and_text, quoted, slices
+from sessionlake.llm.common import fresh, id_and_text, quoted, slices, small_batches
 
 WINDOW = 10
 MOST_BYTES = 64 << 20
@@ -198,13 +198,14 @@ def report(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES)
 def without_leaks(docs: DataFrame, benchmark: DataFrame, most_bytes: int = MOST_BYTES) -> DataFrame:
     """The documents that no window occurs in, with the columns they came with, filtered where they
     lie."""
+    small_batches(docs)
     finders = [docs.sparkSession.sparkContext.broadcast(Finder(g)) for g in dealt(benchmark, most_bytes)]
     text, hit, own = fresh(docs, "whole"), fresh(docs, "hit"), docs.columns
 
     def marks(finder):
-        @F.pandas_udf("boolean")
-        def leaks(texts):
-            return texts.map(lambda t: bool(finder.value.scan(words_of(t))[0]))
+        @F.arrow_udf("boolean")
+        def leaks(texts: pa.Array) -> pa.Array:
+            return pa.array([bool(finder.value.scan(words_of(t.as_py()))[0]) for t in texts], pa.bool_())
 
         return leaks
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fresh, id_and_text, quoted, slices
+from sessionlake.llm.common import fresh, id_and_text, quoted, slices, small_batches
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "account", "login", "contact", "ip6")
@@ -240,11 +240,11 @@ def masked_text(text: str) -> str:
 def masked(docs: DataFrame) -> DataFrame:
     """The documents with their personal data masked; null text stays null. `n_chars`, where there
     is one, follows the text."""
-    text = fresh(docs, "masked")
+    text = fresh(small_batches(docs), "masked")
 
-    @F.pandas_udf("string")
-    def mask(texts):
-        return texts.map(masked_text, na_action="ignore")
+    @F.arrow_udf("string")
+    def mask(texts: pa.Array) -> pa.Array:
+        return pa.array([masked_text(t.as_py()) if t.is_valid else None for t in texts], pa.string())
 
     marked = docs.withColumn(text, mask(F.col("text")))
     changed = {"text": F.col(text)}

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import slices, task_number
+from sessionlake.llm.common import slices, small_batches, task_number
 from sessionlake.session import keep
 
 MIN_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -70,7 +70,7 @@ def repeat_words(words: list[np.ndarray]) -> np.ndarray:
 def measured(docs: DataFrame) -> DataFrame:
     """Base measures of each document with its own row number, and its lines as (hash of host and
     line, words); a hash of the text stands for it. Written once."""
-    read = docs.select(
+    read = small_batches(docs).select(
         F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.xxhash64(F.col("source")).alias("host"), F.xxhash64(F.col("text")).alias("print"),
     )

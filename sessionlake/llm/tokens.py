@@ -14,7 +14,7 @@ from unicodedata import is_normalized
 import numpy as np
 
 #: Parts, and words in them, that a worker remembers; what it meets beyond these is encoded again.
-MOST_PARTS, MOST_CHARS, MOST_WORDS = 400_000, 8_000_000, 800_000
+MOST_PARTS, MOST_CHARS, MOST_WORDS = 150_000, 3_000_000, 300_000
 #: Longer words are never remembered.
 LONG = 40
 

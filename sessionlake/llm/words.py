@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at a time; a cut falls between words.
-PIECE = 1 << 20
+PIECE = 1 << 19
 _BASE = 0x9E3779B97F4A7C15
 _ODD = np.uint64(_BASE)
 
