@@ -50,7 +50,9 @@ def op4_hilbert_curve(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_line_frequency(spark: SparkSession, folder: str) -> DataFrame:
-    return rules.judged(table(spark, folder, "documents"))
+    found = rules.cleaned(table(spark, folder, "documents").select("doc_id", "text", "source"))
+    written = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"]))
+    return found.select("verdict.*", "text").withColumn("removed", F.array_join(written, ","))
 
 
 def op6_benchmark_windows(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,13 +5,16 @@ parted by line feeds. Base rules per text: too few words, or too many words in w
 come twice or more. The method then looks across documents: a line (white space gone at the ends and
 one blank inside, lower case) is boilerplate where more than `limit` different documents of its host
 hold it, and a document of which less than `least_left` of the words stand outside boilerplate is
-depleted. Kept are documents that fail no base rule and are not depleted.
+depleted. Kept are documents that fail no base rule and are not depleted. Boilerplate lines are cut
+out of the texts with the line feeds after them; where they stood is told as (start, end) in
+characters of the text as it came. The measures are those of the text as it came.
 
 The host is the `source` of a document. Equal texts of a host count as one document, so copies alone
 never make a line boilerplate. The limit is one number for every host and size of corpus.
 
-Null text has no words and no lines, null hosts are one host. Rows that repeat are judged each for
-itself, with the same result. Columns read: `doc_id`, `text`, `source`.
+Null text stays null and has no words and no lines, null hosts are one host. Rows that repeat are
+judged each for itself, with the same result. Columns read: `doc_id`, `text`, `source`; a document's
+other columns are carried along by `without_boilerplate`.
 """
 
 from __future__ import annotations
@@ -25,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import slices, small_batches, task_number
+from sessionlake.llm.common import fingerprint, fresh, quoted, slices, small_batches, task_number
+from sessionlake.llm.repeats import cut
 from sessionlake.session import keep
 
 MIN_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
@@ -69,17 +73,21 @@ def repeat_words(words: list[np.ndarray]) -> np.ndarray:
 
 def measured(docs: DataFrame) -> DataFrame:
     """Base measures of each document with its own row number, and its lines as (hash of host and
-    line, words); a hash of the text stands for it. Written once."""
+    line, words, start, end); `end` is past the line feed. A hash of the text stands for it where lines
+    are counted, `fp` where texts are met again. Written once."""
     read = small_batches(docs).select(
         F.col("doc_id").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"),
         F.xxhash64(F.col("source")).alias("host"), F.xxhash64(F.col("text")).alias("print"),
+        fingerprint(F.col("text")).alias("fp"),
     )
     numbers = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     schema = T.StructType(
         [
             read.schema["doc_id"], T.StructField("row", T.LongType()), T.StructField("print", T.LongType()),
+            T.StructField("host", T.LongType()), T.StructField("fp", T.BinaryType()),
             *(T.StructField(c, T.LongType()) for c in numbers),
             T.StructField("lines", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
+            T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())),
         ]
     )
 
@@ -95,28 +103,35 @@ def measured(docs: DataFrame) -> DataFrame:
             cuts = np.cumsum(counts)[:-1]
             chars = [len(t) - sum(map(t.count, BLANKS)) for t in texts]
             symbols = [sum(map(t.count, SYMBOLS)) for t in texts]
-            doubled, lines, sizes = [], [], []
+            doubled, lines, sizes, starts, ends = [], [], [], [], []
             hosts = batch.column("host").to_pylist()
-            for raw, host in zip(raws, hosts, strict=True):
-                seen, twice, own, lens = set(), 0, [], []
-                for line in raw.split(b"\n"):
+            for text, raw, host in zip(texts, raws, hosts, strict=True):
+                seen, twice, own, lens, low, high, at = set(), 0, [], [], [], [], 0
+                # Places are in characters, words in bytes.
+                for line, chars_of in zip(raw.split(b"\n"), map(len, text.split("\n")), strict=True):
                     parts = line.split()
                     if parts:
                         twice += line in seen
                         seen.add(line)
                         own.append(b" ".join(parts).lower())
                         lens.append(len(parts))
+                        low.append(at)
+                        high.append(min(at + chars_of + 1, len(text)))
+                    at += chars_of + 1
                 doubled.append(twice)
                 lines.append((host, own))
                 sizes.append(lens)
+                starts.append(low)
+                ends.append(high)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(np.arange(row, row + batch.num_rows)), batch.column("print"),
+                    batch.column("host"), batch.column("fp"),
                     *(
                         pa.array(v, pa.int64())
                         for v in (counts, chars, symbols, doubled, repeat_words(np.split(codes, cuts)))
                     ),
-                    hashed(lines), pa.array(sizes, pa.list_(pa.int32())),
+                    hashed(lines), *(pa.array(v, pa.list_(pa.int32())) for v in (sizes, starts, ends)),
                 ],
                 schema.names,
             )
@@ -135,21 +150,78 @@ def hashed(lines: list[tuple[int, list[bytes]]]) -> pa.Array:
     )
 
 
-def judged(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
-    """Per document: the base measures, `base_failed`, words in boilerplate lines, `kept`."""
+def found(docs: DataFrame, limit: int, least_left: float) -> DataFrame:
+    """(doc_id, host, fp), the base measures, `base_failed`, `kept`, words in boilerplate lines and the
+    spans of those lines, for every row of `docs`."""
     seen = measured(docs)
     # A line counts once for each different text; the pairs are made distinct before they are counted.
     pairs = seen.select("print", F.explode(F.array_distinct("lines")).alias("line")).distinct()
     common = keep(pairs.groupBy("line").count().where(F.col("count") > limit).select("line"), "boilerplate")
-    each = seen.select("row", F.explode(F.arrays_zip("lines", "sizes")).alias("at"))
-    each = each.select("row", F.col("at.lines").alias("line"), F.col("at.sizes").alias("size"))
-    lost = each.join(common, "line").groupBy("row").agg(F.sum("size").alias("lost"))
-    joined = seen.drop("lines", "sizes", "print").join(lost.withColumnRenamed("row", "lost_row"), F.col("row") == F.col("lost_row"), "left")
+    each = seen.select("row", F.explode(F.arrays_zip("lines", "sizes", "starts", "ends")).alias("at"))
+    each = each.select(
+        "row", F.col("at.lines").alias("line"), F.col("at.sizes").alias("size"),
+        F.struct(F.col("at.starts").alias("start"), F.col("at.ends").alias("end")).alias("span"),
+    )
+    lost = each.join(common, "line").groupBy("row").agg(
+        F.sum("size").alias("lost"), F.sort_array(F.collect_list("span")).alias("gone")
+    )
+    seen = seen.drop("lines", "sizes", "starts", "ends", "print")
+    joined = seen.join(lost.withColumnRenamed("row", "lost_row"), F.col("row") == F.col("lost_row"), "left")
     base_failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     boiler = F.coalesce(F.col("lost"), F.lit(0))
     depleted = (F.col("n_words") - boiler) < least_left * F.col("n_words")
     return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "doc_id", "host", "fp", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         base_failed.alias("base_failed"), (~base_failed & ~depleted).alias("kept"),
         boiler.alias("n_boilerplate_words"),
+        F.coalesce("gone", F.array().cast("array<struct<start:int,end:int>>")).alias("removed"),
+    )
+
+
+def judged(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+    """Per document: the base measures, `base_failed`, `kept`, words in boilerplate lines, and
+    `removed`, where those lines stand."""
+    return found(docs, limit, least_left).drop("host", "fp")
+
+
+def cleaned(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+    """All documents with boilerplate lines cut out of `text`, and one column more: `verdict`, which
+    holds the columns of `judged`."""
+    verdicts = found(docs, limit, least_left).dropDuplicates(["doc_id", "host", "fp"])
+    names = [c for c in verdicts.columns if c not in ("host", "fp")]
+    verdicts = verdicts.select(
+        F.col("doc_id").alias("_own_id"), F.col("host").alias("_own_host"), F.col("fp").alias("_own_fp"),
+        F.struct(*names).alias("_verdict"),
+    )
+    mark, own = fresh(docs, "fp"), docs.columns
+    marked = docs.withColumn(mark, F.struct(F.xxhash64(F.col("source")).alias("host"), fingerprint(F.col("text")).alias("fp")))
+    same = (
+        (marked[mark]["fp"] == verdicts["_own_fp"]) & (marked[mark]["host"] == verdicts["_own_host"])
+        & marked["doc_id"].eqNullSafe(verdicts["_own_id"])
+    )
+
+    @F.arrow_udf("string")
+    def without(texts: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array(
+            [
+                cut(t.as_py(), [(x["start"], x["end"]) for x in s.as_py()]) if t.is_valid else None
+                for t, s in zip(texts, spans, strict=True)
+            ],
+            pa.string(),
+        )
+
+    joined = marked.join(verdicts, same)
+    # Documents that lose nothing do not go through Python.
+    some = F.size("_verdict.removed") > 0
+    lost = joined.where(some).withColumn(mark, without(marked["text"], F.col("_verdict.removed")))
+    whole = joined.where(~some).withColumn(mark, marked["text"])
+    return lost.unionByName(whole).select(
+        *[(F.col(mark) if c == "text" else quoted(c)).alias(c) for c in own], F.col("_verdict").alias("verdict")
     )
+
+
+def without_boilerplate(docs: DataFrame, limit: int = LIMIT, least_left: float = LEAST_LEFT) -> DataFrame:
+    """The kept documents with boilerplate lines cut out of `text`, and one column more: `removed`, the
+    spans cut."""
+    out = cleaned(docs, limit, least_left).where("verdict.kept")
+    return out.select(*map(quoted, docs.columns), F.col("verdict.removed").alias("removed"))

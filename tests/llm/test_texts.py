@@ -182,6 +182,27 @@ def test_boilerplate_depletes(spark):
     assert all(kept[100 + k] == (True, 0) for k in range(50)) and kept[200] == (True, 0)
 
 
+def test_boilerplate_lines_are_cut(spark, odd, none):
+    line, lead = "Same  LINE of the host é", " ".join(f"lead{j}" for j in range(30))
+    docs = [(k, f"{lead} ü{k}\n {line.lower() if k % 2 else line}\t\n\nend {k} of it\n{line}", "s") for k in range(30)]
+    docs += [(50, f"{lead}\n{line}\nelsewhere", "t"), (51, None, "s"), (52, "", "s"), (53, f"{line}\n{line}\nlast", "s")]
+    docs += [docs[3], (3, docs[3][1], "t"), (None, docs[4][1], "s")]
+    docs = spark.createDataFrame([(*d, "x") for d in docs], "doc_id long, text string, source string, fp string")
+    by = {(r.doc_id, r.source): r for r in rules.cleaned(docs, limit=25).collect()}
+    texts = {(r.doc_id, r.source): r.text for r in docs.collect()}
+    for k in range(30):
+        r, text = by[k, "s"], texts[k, "s"]
+        assert r.text == f"{lead} ü{k}\n\nend {k} of it\n" and r.verdict.kept and r.verdict.n_boilerplate_words == 12
+        assert [" ".join(text[a:b].split()).lower() for a, b in r.verdict.removed] == ["same line of the host é"] * 2
+    assert by[None, "s"].text == by[4, "s"].text and by[51, "s"].text is None and by[52, "s"].text == ""
+    assert by[53, "s"].text == "last" and not by[53, "s"].verdict.kept
+    assert all(by[k, "t"].text == texts[k, "t"] and by[k, "t"].verdict.removed == [] for k in (50, 3))
+    out = rules.without_boilerplate(docs, limit=25)
+    assert out.columns == [*docs.columns, "removed"] and out.count() == 30 + 1 + 1 + 1 + 1
+    assert rules.cleaned(odd).count() == odd.count() and rules.cleaned(none).count() == 0
+    assert rules.cleaned(odd).columns == [*odd.columns, "verdict"]
+
+
 def test_repeat_words_by_doubling():
     rng = random.Random(1)
     lists = [[rng.randrange(3) for _ in range(rng.randint(0, 60))] for _ in range(200)]
