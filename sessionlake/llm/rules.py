@@ -33,8 +33,9 @@ from sessionlake.llm.repeats import cut
 from sessionlake.session import keep
 
 MIN_WORDS, MOST_REPEATED, WINDOW = 20, 30, 8
-#: Documents of a host that may hold a line; share of words that must stand outside such lines.
-LIMIT, LEAST_LEFT = 100, 0.3
+#: Documents of a host that may hold a line, few enough for hosts of some dozen documents; share of
+#: words that must stand outside such lines.
+LIMIT, LEAST_LEFT = 10, 0.3
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.llm import hilbert, importance, leaks, near, private, repeats, rules
+from sessionlake.llm.queries import QUERIES
 from tests.llm import brute
 
 
@@ -203,6 +204,17 @@ def test_boilerplate_lines_are_cut(spark, odd, none):
     assert rules.cleaned(odd).columns == [*odd.columns, "verdict"]
 
 
+def test_default_limit_is_met_on_a_host_of_ordinary_size(spark, tmp_path):
+    line, few = (" ".join(f"{name}{k}" for k in range(20)) for name in ("menu", "rare"))
+    own = [" ".join(f"own{k}x{j}" for j in range(5 if k == 0 else 60)) for k in range(50)]
+    docs = [(k, (f"{line}\n" if k < 12 else f"{few}\n" if k < 22 else "") + own[k], "s") for k in range(50)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r.doc_id: r for r in QUERIES["op5_line_frequency"](spark, str(tmp_path)).collect()}
+    assert [k for k, r in by.items() if not r.kept] == [0]
+    assert all(by[k].text == (own[k] if k < 12 else docs[k][1]) for k in range(50))
+    assert all(by[k].removed == (f"0:{len(line) + 1}" if k < 12 else "") for k in range(50))
+
+
 def test_repeat_words_by_doubling():
     rng = random.Random(1)
     lists = [[rng.randrange(3) for _ in range(rng.randint(0, 60))] for _ in range(200)]
