@@ -25,7 +25,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def op1_line_hashing(spark: SparkSession, folder: str) -> DataFrame:
-    found = repeats.without_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = repeats.without_repeats(docs, repeats.NESTED)
     written = F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"]))
     return found.select(
         "doc_id", "text", F.size("removed").alias("n_removed"), F.array_join(written, ",").alias("removed"),

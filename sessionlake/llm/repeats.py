@@ -1,4 +1,5 @@
-"""Substring dedup by hashed units: lines, paragraphs, or the sentences of lines.
+"""Substring dedup by hashed units: lines, paragraphs, the sentences of lines, or all of sentences,
+lines and texts.
 
 A text is cut into units: lines, paragraphs (what stands between empty lines), or lines cut further
 where a sentence ends. A unit is normalised (white space gone at the ends and one blank inside, lower
@@ -11,7 +12,13 @@ Short units repeat by chance. One of fewer than `min_words` words is therefore h
 stands before it, back to the last long unit: it goes only where it follows the same words as
 somewhere else, and never where no long unit stands before it.
 
-Eight bytes of the hash decide which units can repeat at all; just those are grouped by the whole
+The unit `nested` is that of the registered query. To the sentences come, as units of their own: runs
+of short sentences, joined from where the run begins until they have `min_words` words (the next
+short ones are hashed with them where nothing long stands before); lines of as many words; and the
+whole text, of any length, so that copies always go. Units of one text then overlap: of the spans
+found, those inside others are dropped and the rest are told without what an earlier one covers.
+
+64 bits of the hash decide which units can repeat at all; just those are grouped by the whole
 hash. Minima and counts are taken before the shuffle, so a line that stands in a third of all
 documents is one row a task, and joins meet it in parts that Spark can split. Null text stays null
 and has no units. Rows with equal doc_id and text are one document given several times: all get the
@@ -22,9 +29,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +40,7 @@ from pyspark.sql import types as T
 from sessionlake.llm.common import fingerprint, fresh, id_and_text, quoted, slices
 from sessionlake.session import keep
 
-UNIT, MIN_WORDS = "sentence", 6
+UNIT, NESTED, MIN_WORDS = "sentence", "nested", 6
 
 #: What parts two units.
 CUTS = {
@@ -57,14 +64,72 @@ def units_of(text: str, unit: str = UNIT, min_words: int = MIN_WORDS) -> list[tu
     return found
 
 
+def hashed(words: list[str]) -> bytes:
+    return hashlib.md5(" ".join(words).lower().encode("utf-8", "surrogatepass")).digest()
+
+
+def nested_of(text: str, min_words: int = MIN_WORDS) -> list[tuple[bytes, int, int]]:
+    """Like `units_of`, for sentences, joined runs of short sentences, lines and the text."""
+    found: list[tuple[bytes, int, int]] = []
+    places: dict[bytes, list[tuple[int, int]]] = {}
+
+    def add(digest: bytes, start: int, end: int) -> None:
+        found.append((digest, start, end))
+        places.setdefault(digest, []).append((start, end))
+
+    at, before, run, run_at = 0, b"", [], 0
+    for low, high in [*(m.span() for m in CUTS["sentence"].finditer(text)), (len(text), len(text))]:
+        words = text[at:low].split()
+        if len(words) >= min_words:
+            before, run = hashed(words), []
+            add(before, at, high)
+        elif words:
+            if before:
+                own = " ".join(words).lower().encode("utf-8", "surrogatepass")
+                before = hashlib.md5(before + own).digest()
+                add(before, at, high)
+            run_at = run_at if run else at
+            run = run + words
+            if len(run) >= min_words:
+                joined, run = hashed(run), []
+                before = before or joined
+                add(joined, run_at, high)
+        at = high
+    at = 0
+    for low, high in [*(m.span() for m in CUTS["line"].finditer(text)), (len(text), len(text))]:
+        words = text[at:low].split()
+        if len(words) >= min_words:
+            digest = hashed(words)
+            # A line that is one unit, or runs into an equal one, is not another occurrence.
+            held = places.get(digest, [])
+            k = bisect_left(held, (high,))
+            if not k or held[k - 1][1] <= at:
+                found.append((digest, at, high))
+        at = high
+    words = text.split()
+    # A unit with all words of the text stands for it already.
+    if words and (digest := hashed(words)) not in {d for d, _, _ in found}:
+        found.append((digest, 0, len(text)))
+    return found
+
+
+def apart(spans: list[dict]) -> list[dict]:
+    """Spans that overlap, as spans that do not and cover the same."""
+    out, reach = [], 0
+    for s in sorted(spans, key=lambda s: (s["start"], -s["end"])):
+        if s["end"] > reach:
+            out.append({**s, "start": max(s["start"], reach)})
+            reach = s["end"]
+    return out
+
+
 def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, fp, mark, digest, start, end) of every unit that may go, written once; `mark` is half
-    of the digest."""
+    """(doc_id, fp, digest, start, end) of every unit that may go, written once."""
     docs = id_and_text(docs)
     schema = T.StructType(
         [
             docs.schema["doc_id"], T.StructField("fp", T.BinaryType()),
-            T.StructField("mark", T.LongType()), T.StructField("digest", T.BinaryType()),
+            T.StructField("digest", T.BinaryType()),
             T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
         ]
     )
@@ -74,13 +139,14 @@ def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> Data
             row, prints, digests, starts, ends = [], [], [], [], []
             for k, text in enumerate(batch.column("text")):
                 own = hashlib.md5(text.as_buffer()).digest()
-                for digest, start, end in units_of(text.as_py(), unit, min_words):
+                own_units = nested_of(text.as_py(), min_words) if unit == NESTED else units_of(text.as_py(), unit, min_words)
+                for digest, start, end in own_units:
                     row.append(k), prints.append(own), digests.append(digest)
                     starts.append(start), ends.append(end)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(prints, pa.binary()),
-                    pa.array(np.frombuffer(b"".join(digests), "<i8")[::2]), pa.array(digests, pa.binary()),
+                    pa.array(digests, pa.binary()),
                     pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
                 ],
                 schema.names,
@@ -91,8 +157,10 @@ def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> Data
 
 def repeated(found: DataFrame) -> DataFrame:
     """(doc_id, fp, start, end, first_id) of the units that go; `first_id` has the one that stays."""
-    marks = found.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    found = keep(found.join(marks, "mark", "left_semi"), "likely")
+    # The mark is an expression in the join, so it is not shuffled beside the digest.
+    own = F.xxhash64("digest")
+    marks = found.groupBy(own.alias("mark")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    found = keep(found.join(marks, own == F.col("mark"), "left_semi"), "likely")
     void = F.col("doc_id").isNull().alias("void")
     place = F.struct(void, "doc_id", "fp", "start")
     # Rows that are one document several times must not make their units look repeated.
@@ -113,11 +181,20 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def flattened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        column = batch.column("gone")
+        spans = pa.array([apart(s) for s in column.to_pylist()], column.type)
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fp"), spans], ["doc_id", "fp", "gone"])
+
+
 def without_repeats(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with repeated units cut out of `text`, and two columns more: `removed`, the
     spans cut, and `first_ids`, the documents that keep what was cut, in the same order."""
     gone = repeated(units(docs, unit, min_words)).distinct()
     spans = gone.groupBy("doc_id", "fp").agg(F.sort_array(F.collect_list(F.struct("start", "end", "first_id"))).alias("gone"))
+    if unit == NESTED:
+        spans = spans.mapInArrow(flattened, spans.schema)
     spans = spans.withColumnsRenamed({"doc_id": "gone_id", "fp": "gone_fp"})
     mark, own = fresh(docs, "fp"), docs.columns
     marked = docs.withColumn(mark, fingerprint(F.col("text")))

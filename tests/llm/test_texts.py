@@ -163,6 +163,42 @@ def test_a_passage_inside_lines_goes_whole(spark):
             assert r.text == docs[r.doc_id][1].replace(passage + " ", "") and set(r.first_ids) == {0}
 
 
+def test_copies_and_runs_of_short_sentences_go(spark, odd, none, texts, tmp_path):
+    shouts = " ".join(f"SHOUT{k}.!!" for k in range(60))
+    block = "One two. Three four. Five six. Seven eight. Nine."
+    docs = [
+        (1, shouts), (2, shouts.lower()), (3, "Yes."), (4, " yes.\n"), (5, f"This sentence of seven words is own five.\n{block}"),
+        (6, f"Another sentence of seven words is own six. {block} Tail of six."), (7, f"Hi! {block}\nHi! {block}"),
+        (8, "\n\nOnly one sentence of many words stands here."), (9, "Yes. But this one goes on with words.\nYes."),
+        (10, None), (11, ""), (2, shouts.lower()),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    by = {r.doc_id: r for r in QUERIES["op1_line_hashing"](spark, str(tmp_path)).collect()}
+    assert by[1].text == shouts and by[2].text == "" and by[2].removed == f"0:{len(shouts)}" and by[2].first_ids == "1"
+    assert by[3].text == "Yes." and by[4].text == "" and by[10].text is None and by[11].text == ""
+    assert all(by[k].text == dict(docs)[k] for k in (5, 8, 9))
+    # Joined from the start of the run: its first six words are met, the rest stands after other words.
+    assert by[6].text == "Another sentence of seven words is own six. Seven eight. Nine. Tail of six."
+    assert by[7].text == f"Hi! {block}\n"
+    for docs in (odd, none):
+        out = repeats.without_repeats(docs, repeats.NESTED)
+        assert out.columns == [*docs.columns, "removed", "first_ids"] and out.count() == docs.count()
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    clean, seen = {r.doc_id: r for r in repeats.without_repeats(rows, repeats.NESTED).collect()}, set()
+    for i, text in sorted(texts):
+        whole = " ".join((text or "").lower().split())
+        assert whole not in seen or not clean[i].text.strip()
+        seen |= {whole} - {""}
+        spans = [tuple(s) for s in clean[i].removed]
+        assert all(a < b for a, b in spans) and all(x[1] <= y[0] for x, y in zip(spans, spans[1:]))
+        assert clean[i].text == (repeats.cut(text, spans) if text else text)
+    # What sentences alone find goes too, and no word is lost from the corpus.
+    for i, low, high, _ in brute.repeats(texts):
+        assert set(range(low, high)) <= {c for a, b in clean[i].removed for c in range(a, b)}
+    words = lambda docs: {w for t in docs for w in (t or "").lower().split()}
+    assert words(t for _, t in texts) == words(r.text for r in clean.values())
+
+
 def test_rules(documents, texts, odd, none):
     rows = {r.doc_id: r for r in rules.judged(documents).collect()}
     for i, text in texts:
