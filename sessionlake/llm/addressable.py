@@ -139,7 +139,7 @@ def write_codes(docs: DataFrame, path: str | None = None, end: int = 2) -> DataF
             )
 
         for batch in slices(batches):
-            new, lengths = tool.encode(batch.column("text").to_pylist(), end)
+            new, lengths = tool.encode(batch.column("text"), end)
             ids.append(new), counts.append(lengths), names.append(batch.column("doc_id"))
             held += len(new)
             if held >= SEGMENT:

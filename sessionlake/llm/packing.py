@@ -162,7 +162,7 @@ def encoded(docs: DataFrame, path: str, end: int, limit: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row, tool = task_number() << 33, encoder(path, False)
         for batch in slices(batches):
-            ids, counts = tool.encode(batch.column("text").to_pylist(), end)
+            ids, counts = tool.encode(batch.column("text"), end)
             ends = np.cumsum(counts)
             crcs = [
                 [zlib.crc32(ids[k : min(k + limit, high)].tobytes()) for k in range(low, high, limit)]

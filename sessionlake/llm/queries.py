@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sessionlake.llm import (
     addressable,
+    codec,
     hilbert,
     importance,
     leaks,
@@ -78,12 +79,16 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "kept")
 
 
+def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return codec.digests(codec.decoded(codec.encoded(table(spark, folder, "documents"))))
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_line_hashing, op2_best_fit_packing, op3_anchor_expansion, op4_hilbert_curve,
         op5_line_frequency, op6_benchmark_windows, op7_addressable_codes, op8_separator_scan,
-        op9_importance_resampling, op10_probminhash,
+        op9_importance_resampling, op10_probminhash, op12_byte_bpe,
     )
 }
 

@@ -51,7 +51,7 @@ def write_flat(docs: DataFrame, path: str | None = None, end: int = END, width:
         tool, no_long = encoder(path, True, True), pa.nulls(1, pa.int64())
         for batch in slices(batches):
             names = batch.column("doc_id")
-            ids, _ = tool.encode(batch.column("text").to_pylist(), end)
+            ids, _ = tool.encode(batch.column("text"), end)
             held = np.concatenate([held, ids.astype(f"<u{width}")])
             yield pa.RecordBatch.from_arrays(
                 [

@@ -36,7 +36,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return row(_BASE), row(pow(_BASE, -1, 1 << 64))
 
 
-def _raw(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def raw_bytes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, as Arrow holds them, and where each begins and the last ends."""
     values = values.cast(pa.large_string())
     offsets = np.frombuffer(values.buffers()[1], np.int64)[values.offset : values.offset + len(values) + 1]
     data = values.buffers()[2]
@@ -47,7 +48,7 @@ def _raw(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def word_hashes(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word (a run without white space, A-Z as a-z) of all texts in a row, and
     the number of words in each text. No nulls."""
-    raw, offsets = _raw(values)
+    raw, offsets = raw_bytes(values)
     firsts = np.zeros(len(raw) + 1, bool)
     firsts[offsets] = True
     hashes, starts, at = [], [], 0
