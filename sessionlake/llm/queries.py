@@ -19,8 +19,11 @@ from sessionlake.llm import (
     repeats,
     rules,
     separators,
+    spelling,
+    target,
 )
 from sessionlake.llm.common import table
+from sessionlake.llm.statements import SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -79,17 +82,27 @@ def op10_probminhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "class_id", "kept")
 
 
+def op11_reduced_alphabet(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(spelling.counted(table(spark, folder, "documents"), slip=199))
+
+
 def op12_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return codec.digests(codec.decoded(codec.encoded(table(spark, folder, "documents"))))
 
 
+def op13_target_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    found = target.drawn(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Query] = {
     q.__name__: q
     for q in (
         op1_line_hashing, op2_best_fit_packing, op3_anchor_expansion, op4_hilbert_curve,
         op5_line_frequency, op6_benchmark_windows, op7_addressable_codes, op8_separator_scan,
-        op9_importance_resampling, op10_probminhash, op12_byte_bpe,
+        op9_importance_resampling, op10_probminhash, op11_reduced_alphabet,
+        op12_byte_bpe, op13_target_resampling,
     )
 }
 
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
