@@ -85,6 +85,7 @@ ENRICHMENTS: dict[str, T.StructType] = {
 }
 
 LEDGERS: dict[str, T.StructType] = {
+    "read_positions": _struct("session_id:s source:s file:s bytes:l lines:l"),
     "span_delivery": _struct(
         "session_id:s backend:s fingerprint:s mapper_version:s spans_sent:l delivered_at:t"
     ),
@@ -110,6 +111,7 @@ KEYS: dict[str, list[str]] = {
     "agent_run_enrichments": ["session_id", "agent_run_id"],
     "session_enrichments": ["session_id"],
     "span_delivery": ["session_id", "backend"],
+    "read_positions": ["session_id", "source"],
 }
 
 # Tables a fork may hold copies in, so their rows carry `replayed`. Runs never do.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.regexp_replace(plain, r"\+", "%2B"))
 
 
-def _classified(files: DataFrame, root: str) -> DataFrame:
+def classified(files: DataFrame, root: str) -> DataFrame:
     """Each file with its project folder, session, and what reads it.
 
     Every column is one pattern over the path, so none is built out of another.
@@ -67,9 +68,12 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select(_decoded(F.col("path")).alias("file"), "modificationTime", "length")
+        .select(
+            _decoded(F.col("_metadata.file_path")).alias("file"), F.col("_metadata.file_path").alias("address"),
+            "modificationTime", "length",
+        )
     )
-    return _classified(files, root)
+    return classified(files, root)
 
 
 def projects(files: DataFrame, now: str, recent_days: int = RECENT_DAYS) -> DataFrame:
@@ -117,10 +121,19 @@ def fingerprints(files: DataFrame, extractor_version: str) -> DataFrame:
     )
 
 
-def since_oldest(files: DataFrame) -> dict[str, str]:
-    """A reader's option that leaves out what was last written before the oldest of `files`."""
-    oldest = files.agg(F.date_format(F.min("modificationTime") - F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd'T'HH:mm:ss")).first()[0]
-    return {"modifiedAfter": oldest} if oldest else {}
+#: Paths in one condition, and in all of them: beyond, whole folders are read and joined with the paths.
+PATHS_AT_ONCE, MOST_PATHS = 5_000, 100_000
+
+
+def only(read: DataFrame, files: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
+    """Of what a reader would read, just `files`. Their addresses are conditions on the files' own data,
+    so Spark leaves the others unopened; they reach the driver, which holds the listing anyway."""
+    addresses = [r[0] for r in files.select("address").distinct().limit(MOST_PATHS + 1).collect()]
+    if len(addresses) > MOST_PATHS:
+        wanted = files.select(F.col("address").alias("_address")).distinct()
+        return read.withColumn("_address", F.col(path)).join(wanted, "_address", "left_semi").drop("_address")
+    runs = [addresses[k : k + PATHS_AT_ONCE] for k in range(0, len(addresses), PATHS_AT_ONCE)] or [[]]
+    return reduce(DataFrame.unionByName, [read.filter(F.col(path).isin(run)) for run in runs])
 
 
 def numbered_lines(
@@ -130,24 +143,20 @@ def numbered_lines(
 
     A file is split at newlines only and read by as many tasks as it has blocks. Lines are
     numbered within their block as they are read; blocks then learn how many lines came before.
-    With `files`, only those are kept, however many they are.
+    With `files`, only those are opened.
     """
-    options = {} if files is None else since_oldest(files)
     read = (
         spark.read.option("lineSep", "\n")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", pattern)
-        .options(**options)
         .text(root)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("seen"), F.col("value").alias("raw"),
-        )
     )
     if files is not None:
-        wanted = files.select("file").distinct()
-        read = read.withColumn("file", _decoded(F.col("path"))).join(wanted, "file", "left_semi").drop("file")
+        read = only(read, files)
+    read = read.select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("seen"), F.col("value").alias("raw"),
+    )
     read = keep(read, "lines")
     blocks = read.groupBy("path", "block").agg(
         F.min("seen").alias("first_seen"), F.count(F.lit(1)).alias("n")
@@ -180,24 +189,22 @@ def recorded(spark: SparkSession, root: str, sessions: DataFrame | None = None)
     lines = numbered_lines(spark, root, files=told).join(
         told.select("file", "session_id", "source"), "file"
     ).select("session_id", "source", "line_no", "raw")
-    return Recorded(files, lines, _metas(spark, root, files), offload_files(spark, root, files), _paths(files))
+    return Recorded(files, lines, metas(spark, root, files), offload_files(spark, root, files), paths(files))
 
 
-def _metas(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
+def metas(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """What is written beside each agent transcript."""
     held = files.filter(F.col("role") == "meta")
-    told = (
-        spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.meta.json").options(**since_oldest(held)).text(root)
-        .select(_decoded(F.col("_metadata.file_path")).alias("file"), "value")
-    )
+    told = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
+    told = only(told.option("pathGlobFilter", "*.meta.json").text(root), held)
+    told = told.select(_decoded(F.col("_metadata.file_path")).alias("file"), "value")
     held = held.select("file", "session_id", F.col("source").alias("agent_id"), "workflow_id")
     return told.select("file", read_json(F.col("value"), META).alias("m")).join(held, "file").select(
         "session_id", "agent_id", "workflow_id", "m.*"
     )
 
 
-def _paths(files: DataFrame) -> DataFrame:
+def paths(files: DataFrame) -> DataFrame:
     return files.filter(F.col("role") == "main").select(
         "session_id", F.col("file").alias("transcript_path")
     )
@@ -208,16 +215,12 @@ def offload_files(spark: SparkSession, root: str, files: DataFrame) -> DataFrame
 
     Only the folders such files lie in are opened, so no transcript is read as one piece."""
     held = files.filter(F.col("role") == "offload")
-    options = since_oldest(held)
-    held = held.select("file", "session_id", "name")
-    if not options:
+    if held.isEmpty():
         read = spark.createDataFrame([], "file string, content binary, length long")
     else:
-        read = (
-            spark.read.format("binaryFile").options(**options)
-            .load(f"{root.rstrip('/')}/*/*/tool-results/*")
-            .select(_decoded(F.col("path")).alias("file"), "content", "length")
-        )
+        read = only(spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/tool-results/*"), held)
+        read = read.select(_decoded(F.col("_metadata.file_path")).alias("file"), "content", "length")
+    held = held.select("file", "session_id", "name")
     text = F.col("content").cast("string")
     return read.join(held, "file").select(
         "session_id", "name", F.make_valid_utf8(text).alias("content"),

@@ -11,7 +11,7 @@ from sessionlake.operators.relations import Scope
 from sessionlake.plans import registry
 from sessionlake.plans.sql import install_functions, install_views
 from sessionlake.schema import COUNTED
-from sessionlake.streaming.refresh import call_sessions, call_windows, idle_gap_stream
+from sessionlake.streaming.refresh import call_sessions, call_windows
 
 SCOPE = Scope(project="/p", as_of="2024-01-20", window_days=14)
 
@@ -78,37 +78,6 @@ def test_text_rules(spark):
     assert tuple(row) == ("git status -s", "b/c", "b", "/r", "/r/plain", "s10", "s0", "s1")
 
 
-def test_streamed_gaps_are_the_batch_ones(spark, telemetry, tmp_path):
-    calls = telemetry.live("api_calls").select(
-        "session_id", "source", "index", "started_at", "cache_creation_tokens",
-        "cache_read_tokens", "cache_1h_tokens", "cost_usd",
-    )
-    folder = str(tmp_path / "calls")
-    calls.repartition(2).write.parquet(folder)
-    stream = spark.readStream.schema(calls.schema).parquet(folder)
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    query = (
-        idle_gap_stream(stream, 20_000).writeStream.format("parquet")
-        .option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True).outputMode("append").start()
-    )
-    query.awaitTermination(120)
-    got = spark.read.parquet(str(tmp_path / "out"))
-    expected = {}
-    for r in calls.orderBy("session_id", "source", "started_at").collect():
-        expected.setdefault((r.session_id, r.source), []).append(r)
-    want = set()
-    for (session, source), rows in expected.items():
-        for a, b in zip(rows, rows[1:]):
-            idle = int(b.started_at.timestamp()) - int(a.started_at.timestamp())
-            if idle >= 20_000:
-                want.add((session, source, idle, b.cache_creation_tokens))
-    assert {(r.session_id, r.source, r.idle_seconds, r.rebuilt_tokens) for r in got.collect()} == want
-
-
 def test_streamed_windows_and_bursts_run(spark, telemetry, tmp_path):
     calls = telemetry.live("api_calls").select("session_id", "source", "started_at", "cost_usd")
     folder = str(tmp_path / "calls")
@@ -136,42 +105,3 @@ def test_spans_are_sent_once(spark, telemetry, tmp_path):
     assert spark.read.parquet(folder).count() == told.spans
     after = Tables({**telemetry.frames, "span_delivery": ledger})
     assert undelivered(after, "other").count() == due - len(rows)
-
-
-def test_gaps_do_not_depend_on_zone_or_pieces(monkeypatch):
-    import time
-
-    import pandas as pd
-
-    from sessionlake.streaming.refresh import GapDetector
-
-    class Held:
-        value = None
-
-        def get(self):
-            return self.value
-
-        def update(self, value):
-            self.value = value
-
-    monkeypatch.setenv("TZ", "America/Caracas")
-    time.tzset()
-    try:
-        detector = GapDetector(min_idle_seconds=10)
-        detector.last = Held()
-        second = 1_000_000
-        calls = pd.DataFrame(
-            [(0, 0), (30, 3), (30, 2), (5, 1), (31, 4)], columns=["at", "index"]
-        ).assign(cache_creation_tokens=[0, 3, 2, 1, 4], reloaded=True, cached=[True, False, True, False, False])
-        calls["at"] *= second
-        pieces = iter([calls.iloc[:2], calls.iloc[2:]])
-        got = pd.concat(detector.handleInputRows(("s", "main"), pieces, None))
-        assert got[["gap_start", "started_at", "idle_seconds", "rebuilt_tokens", "cached_1h"]].values.tolist() == [
-            [5 * second, 30 * second, 25, 2, False]
-        ]
-        later = calls.iloc[:1].assign(at=60 * second, index=5)
-        got = pd.concat(detector.handleInputRows(("s", "main"), iter([later]), None))
-        assert got["idle_seconds"].tolist() == [29] and detector.last.value == (60 * second, True)
-    finally:
-        monkeypatch.undo()
-        time.tzset()

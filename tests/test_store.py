@@ -6,6 +6,7 @@ import json
 import pathlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from sessionlake.sources.discover import listing, numbered_lines, projects
 from sessionlake.sources.store import Store, migrated, refresh
@@ -257,3 +258,67 @@ def test_a_newer_store_is_refused_and_an_older_one_migrated(spark, tmp_path):
     last.with_name("000000000099-v12.csv").write_text(last.read_text())
     with pytest.raises(ValueError, match="newer"):
         store.table("session_tags")
+
+
+def test_a_write_costs_what_it_replaces(spark, tmp_path, monkeypatch):
+    """Layers: bytes written follow the sessions replaced, readers see the same before and after merges."""
+    monkeypatch.setattr("sessionlake.sources.store.FAN", 3)
+    root = tmp_path / "store"
+    store = Store(spark, str(root), buckets=3)
+    size = lambda: sum(f.stat().st_size for f in (root / "tables" / "session_tags").rglob("*.parquet"))
+    store.replace(*tags(spark, [(f"s{k:05d}", str(k)) for k in range(20_000)]))
+    first, want = size(), {f"s{k:05d}": str(k) for k in range(20_000)}
+    read = lambda s=None: {r.session_id: r.value for r in store.table("session_tags", s).collect()}
+    layers = []
+    for turn in range(7):
+        names = [f"s{(turn * 7 + k) % 12:05d}" for k in range(5)] + [f"t{turn}"]
+        store.replace(*tags(spark, [(n, f"{n}-{turn}") for n in names]))
+        want |= {n: f"{n}-{turn}" for n in names}
+        layers.append(store.manifest().filter("relation = 'session_tags'").count())
+        assert read() == want
+        some = ["s00000", "s00011", f"t{turn}", "s19999", "none"]
+        assert read(some) == {n: want[n] for n in some if n in want}
+        by_join = spark.createDataFrame([(n,) for n in some], "session_id string")
+        assert read(by_join) == read(some)
+    assert max(layers) <= 5 and min(layers[2:]) < max(layers)
+    assert size() - first < first
+    # Sessions that are replaced by nothing are gone, also once their layer has been merged.
+    empty = tags(spark, [])[0]
+    gone = spark.createDataFrame([("s00001",), ("t3",)], "session_id string")
+    store.replace(empty, gone)
+    del want["s00001"], want["t3"]
+    assert read() == want
+    store.compact(), store.merge()
+    assert read() == want
+    assert store.manifest().filter("relation = 'session_tags'").count() == 1
+
+
+def test_only_due_files_are_opened(spark, tmp_path, monkeypatch):
+    from sessionlake.sources import discover
+
+    root = tmp_path / "in"
+    for k in range(12):
+        write(root / "-p" / f"s {k}%[a].jsonl", [user(f"u{k}", 1, "said")])
+    files = listing(spark, str(root))
+    due = files.filter(F.col("session_id").isin("s 3%[a]", "s 7%[a]"))
+    base = spark.read.option("recursiveFileLookup", "true").text(str(root))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for most, opened in ((1, 0), (100, 2)):
+            monkeypatch.setattr(discover, "MOST_PATHS", most)
+            monkeypatch.setattr(discover, "PATHS_AT_ONCE", 1)
+            read = discover.only(base, due)
+            assert read.count() == 2
+            if not opened:
+                continue
+            leaves = read._jdf.queryExecution().executedPlan().collectLeaves()
+            counted = [leaves.apply(k).metrics().get("numFiles") for k in range(leaves.size())]
+            read.collect()
+            scans = [m.get().value() for m in counted if m.isDefined()]
+            assert sum(scans) == opened
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    monkeypatch.setattr(discover, "MOST_PATHS", 100)
+    assert {r.file.split("/")[-1] for r in numbered_lines(spark, str(root), files=due).collect()} == {
+        "s 3%[a].jsonl", "s 7%[a].jsonl"}
+    assert numbered_lines(spark, str(root), files=due.limit(0)).collect() == []
