@@ -82,7 +82,7 @@ CTES: dict[str, str] = {
                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""",
     "ev_tools": f"""
   SELECT *, {_pick("k", "Bash", "Read", "Edit", "Bash", "Grep", "Glob", "Skill", "Agent", "SendMessage", "Write", "TodoWrite")} AS tool_name
-  FROM ev WHERE kind = 'tool' AND call_key IS NOT NULL""",
+  FROM ev WHERE kind = 'tool'""",
     "ev_open": """
   SELECT session_id, min(ts) AS first, max(ts) AS ended_at, count(*) AS n,
     regexp_extract(session_id, '^u(\\d+)-', 1)::BIGINT AS u,
@@ -131,7 +131,7 @@ CTES: dict[str, str] = {
     event_id % 37 = 0 AS synthetic, replayed
   FROM ev WHERE kind = 'call'""",
     "tool_calls": f"""
-  SELECT 'k' || event_id AS id, session_id, source, call_key AS api_call_id, tools_before AS index,
+  SELECT 'k' || event_id AS id, session_id, source, coalesce(call_key, 'lost-' || event_id) AS api_call_id, tools_before AS index,
     tool_name AS name, event_id % 47 = 0 AS server_side, {_INPUT} AS input,
     CASE WHEN event_id % 31 = 0 THEN NULL WHEN event_type = 'error' THEN {_SAID}
          ELSE 'ok ' || event_id END AS result,

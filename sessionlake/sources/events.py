@@ -200,7 +200,9 @@ def telemetry(spark: SparkSession, folder: str) -> Tables:
 
     unfinished = event % 31 == 0
     failed = (F.col("event_type") == "error") & ~unfinished
-    named = rows.filter((F.col("kind") == "tool") & F.col("call_key").isNotNull()).withColumn(
+    # A tool before any call of its thread names a call that nobody recorded.
+    call_id = F.coalesce("call_key", _id("lost-"))
+    named = rows.filter(F.col("kind") == "tool").withColumn(
         "tool_name",
         _pick(
             k, "Bash", "Read", "Edit", "Bash", "Grep", "Glob", "Skill", "Agent", "SendMessage",
@@ -218,7 +220,7 @@ def telemetry(spark: SparkSession, folder: str) -> Tables:
     )
     def tools() -> DataFrame:
         return named.select(
-            _id("k").alias("id"), *thread, F.col("call_key").alias("api_call_id"),
+            _id("k").alias("id"), *thread, call_id.alias("api_call_id"),
             F.col("tool_no").alias("index"), F.col("tool_name").alias("name"),
             (event % 47 == 0).alias("server_side"), _input().alias("input"),
             F.when(unfinished, F.lit(None)).when(failed, said).otherwise(_id("ok ")).alias("result"),
