@@ -4,6 +4,6 @@ from __future__ import annotations
 
 
 def statements() -> dict[str, str]:
-    from oracle import corpus, ingest, jobs, sheets, tree
+    from oracle import corpus, files, ingest, jobs, sheets, tree
 
-    return {**corpus.SQL, **sheets.SQL, **tree.SQL, **ingest.SQL, **jobs.SQL}
+    return {**corpus.SQL, **sheets.SQL, **tree.SQL, **ingest.SQL, **files.SQL, **jobs.SQL}

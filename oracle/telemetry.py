@@ -1,4 +1,4 @@
-"""The event table as session telemetry, in SQL: the counterpart of `sources/events.py`."""
+"""The event table as session telemetry, in SQL: the counterpart of `adapters/events.py`."""
 
 from __future__ import annotations
 

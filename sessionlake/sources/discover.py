@@ -118,6 +118,7 @@ def fingerprints(files: DataFrame, extractor_version: str) -> DataFrame:
     return files.groupBy("session_id").agg(
         F.sha2(state, 256).alias("fingerprint"),
         F.max(F.when(F.col("role") == "main", F.col("file"))).alias("transcript_path"),
+        F.max("project_folder").alias("project_folder"),
     )
 
 

@@ -297,15 +297,28 @@ def bucket_salt(name: str) -> Column:
 
 @dataclass
 class Refresh:
-    """What a refresh did: every session's status, why some were withheld, what nobody declared."""
+    """What a refresh did: every session's status, why some were withheld, which last lines were still
+    being written, what nobody declared."""
 
     status: DataFrame
     rejects: DataFrame
+    tails: DataFrame | None = None
     kinds: DataFrame | None = None
     fields: DataFrame | None = None
 
     def report(self) -> DataFrame:
-        return self.status.groupBy("status").agg(F.count(F.lit(1)).alias("sessions"))
+        """Per directory: sessions by what became of them, and last lines dropped."""
+        count = lambda what: F.count_if(F.col("status") == what).alias(what)
+        told = self.status.withColumn("dropped_tails", F.lit(0))
+        if self.tails is not None:
+            dropped = self.tails.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+            told = self.status.join(dropped, "session_id", "left").withColumn(
+                "dropped_tails", F.coalesce("n", F.lit(0))
+            )
+        return told.groupBy("project_folder").agg(
+            F.count(F.lit(1)).alias("sessions"), count("extracted"), count("refused"), count("skipped"),
+            F.sum("dropped_tails").alias("dropped_tails"),
+        )
 
 
 def changed_sessions(store: Store, files: DataFrame) -> DataFrame:
@@ -330,7 +343,8 @@ def refresh(store: Store, root: str, tags: dict[str, str] | None = None) -> Refr
     due = state.filter("changed")
     if due.isEmpty():
         nothing = spark.createDataFrame([], "session_id string, rule string, detail string")
-        return Refresh(state.select("session_id", F.lit("skipped").alias("status")), nothing)
+        skipped = F.lit("skipped").alias("status")
+        return Refresh(state.select("session_id", "project_folder", skipped), nothing)
     return _taken(store, recorded(spark, root, due), state, tags)
 
 
@@ -367,11 +381,11 @@ def _taken(
     store.replace(tables, good)
     refused = bad.withColumn("refused", F.lit(True))
     status = state.join(refused, "session_id", "left").select(
-        "session_id",
+        "session_id", "project_folder",
         F.when(~F.col("changed"), "skipped").when(F.col("refused"), "refused")
         .otherwise("extracted").alias("status"),
     )
-    return Refresh(status, rejects, unknown_kinds(out.lines), unknown_fields(out.lines))
+    return Refresh(status, rejects, out.tails, unknown_kinds(out.lines), unknown_fields(out.lines))
 
 
 def append(store: Store, root: str, arrived: DataFrame, tags: dict[str, str] | None = None) -> Refresh | None:

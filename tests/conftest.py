@@ -32,6 +32,6 @@ def spark(tmp_path_factory):
 
 @pytest.fixture(scope="session")
 def telemetry(spark):
-    from sessionlake.sources.events import telemetry as build
+    from adapters.events import telemetry as build
 
     return build(spark, str(DATA))
