@@ -23,6 +23,7 @@ from sessionlake.operators.relations import (
     enriched_sessions,
     enriched_turns,
 )
+from sessionlake.operators.containment import last_lines_with
 from sessionlake.operators.windows import THREAD, running
 from sessionlake.schema import MAIN
 
@@ -140,37 +141,16 @@ def timeline(t: Tables, log_chars: int = LOG_CHARS) -> DataFrame:
     )
 
 
-TOOL_ID = r"(?:srv)?toolu_[A-Za-z0-9]+"
-
-
-def error_records(t: Tables, max_chars: int = 200, tool_id: str = TOOL_ID) -> DataFrame:
-    """Failed calls and the last transcript line naming each: ids are read out of the lines and joined.
-
-    `tool_id` is the usual shape of an id; each line yields the ids it names, so a call meets its
-    lines on equality and no text is searched for every call. Ids of another shape are looked for
-    among all the quoted words of the lines, but only in the threads that have such a failure.
-    """
+def error_records(t: Tables, max_chars: int = 200) -> DataFrame:
+    """Failed calls and the last transcript line that holds the id of each, whatever the id is made of."""
     failed = t.live("tool_calls").filter("is_error").select(
         *THREAD, F.col("id").alias("tool_call_id"), F.col("name").alias("tool"), "started_at",
         F.length("result").alias("error_chars"),
         F.substring(collapse(F.col("result")), 1, max_chars).alias("error"),
     )
-    found = F.array_distinct(F.regexp_extract_all("raw", F.lit(f"({tool_id})"), F.lit(1)))
-    odd = failed.filter(~F.col("tool_call_id").rlike(f"^{tool_id}$")).select(*THREAD, "tool_call_id")
-    quoted = F.array_distinct(F.regexp_extract_all("raw", F.lit(r'"([^"\\]+)\\?"'), F.lit(1)))
-    named = (
-        t["raw_records"].join(odd.select(*THREAD).distinct(), THREAD, "left_semi")
-        .select(*THREAD, "line_no", F.explode(quoted).alias("tool_call_id"))
-        .join(odd.distinct(), [*THREAD, "tool_call_id"], "left_semi")
-    )
-    lines = (
-        t["raw_records"]
-        .select(*THREAD, "line_no", F.explode(found).alias("tool_call_id"))
-        .unionByName(named.select(*THREAD, "line_no", "tool_call_id"))
-        .groupBy(*THREAD, "tool_call_id")
-        .agg(F.max("line_no").alias("line_no"))
-    )
-    return failed.join(lines, [*THREAD, "tool_call_id"], "left").select(
+    lines = last_lines_with(t["raw_records"], failed.select(*THREAD, F.col("tool_call_id").alias("words")).distinct())
+    found = lines.withColumnRenamed("words", "tool_call_id")
+    return failed.join(found, [*THREAD, "tool_call_id"], "left").select(
         *THREAD, "line_no", "tool", "tool_call_id", "started_at", "error_chars", "error"
     )
 
