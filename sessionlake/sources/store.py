@@ -16,6 +16,7 @@ from sessionlake.ingest.unknown import unknown_fields, unknown_kinds
 from sessionlake.operators.quality import shape_differences
 from sessionlake.operators.relations import Tables
 from sessionlake.session import keep
+from sessionlake.sources.commits import check_atomic, create, file_system
 from sessionlake.sources.discover import (
     Recorded,
     classified,
@@ -66,20 +67,13 @@ class Store:
     one, never half a write; what a merge replaces stays on disk for those who still read it.
     """
 
-    #: Where a rename that must not overwrite is one atomic step.
-    ATOMIC = ("file", "hdfs", "viewfs", "abfs", "abfss")
-
     def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, one_writer: bool = False) -> None:
         """`one_writer`: the caller sees to it that nobody else writes, so any file system will do."""
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
-        scheme = self._files()[1].getScheme()
-        if scheme not in self.ATOMIC and not one_writer:
-            raise ValueError(f"two writers could both commit on {scheme}: say one_writer=True where there is one")
+        check_atomic(spark, self.root, one_writer)
 
     def _files(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/manifests")
-        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return file_system(self.spark, f"{self.root}/manifests")
 
     def _last(self) -> tuple[int, int, str] | None:
         """(number, schema version, file) of the newest manifest."""
@@ -262,25 +256,8 @@ class Store:
             f"{name},{layer},{version},{size}\n"
             for name, held in sorted(layers.items()) for layer, (version, size) in enumerate(held)
         )
-        folder, files = self._files()
-        files.mkdirs(folder)
-        jvm = self.spark.sparkContext._jvm
         number = 1 if last is None else last[0] + 1
-        aside = jvm.org.apache.hadoop.fs.Path(folder, f".{uuid.uuid4().hex}")
-        out = files.create(aside, False)
-        out.write(bytearray(text.encode()))
-        out.close()
-        place = jvm.org.apache.hadoop.fs.Path(folder, f"{number:012d}-v{SCHEMA_VERSION}.csv")
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        qualified = lambda p: files.makeQualified(p)
-        try:
-            context.rename(qualified(aside), qualified(place), self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0))
-        except Exception as error:
-            files.delete(aside, False)
-            if files.exists(place):
-                return False
-            raise error
-        return True
+        return create(self.spark, f"{self.root}/manifests", f"{number:012d}-v{SCHEMA_VERSION}.csv", text)
 
 
 def in_order(versions: list[str]) -> Column:

@@ -92,16 +92,52 @@ def test_streamed_windows_and_bursts_run(spark, telemetry, tmp_path):
         assert spark.table(f"seen_{n}").count() > 0
 
 
-def test_spans_are_sent_once(spark, telemetry, tmp_path):
+def test_spans_are_sent_once(spark, telemetry, tmp_path, monkeypatch):
     from sessionlake.operators.relations import Tables
-    from sessionlake.spans.delivery import census, send, undelivered
-
-    folder = str(tmp_path / "sent")
-    due = undelivered(telemetry, "other").count()
-    ledger = send(telemetry, "other", folder).select(telemetry["span_delivery"].columns)
-    rows = ledger.collect()
-    told = census(telemetry, "other").first()
+    from sessionlake.spans import delivery
+    from sessionlake.spans.spans import spans
+
+    shape = spans(telemetry).schema
+    box = delivery.Outbox(spark, str(tmp_path / "sent"), "other")
+    due = delivery.undelivered(telemetry, "other").count()
+    told = delivery.census(telemetry, "other").first()
+    create = delivery.create
+
+    # A driver that dies with everything written but nothing committed has sent nothing.
+    def dies(*args):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(delivery, "create", dies)
+    with pytest.raises(KeyboardInterrupt):
+        box.send(telemetry)
+    assert box.spans(shape).count() == 0 and box.ledger().count() == 0
+
+    # A send that is overtaken by another of the same sessions starts over and finds nothing to do.
+    met = []
+
+    def overtaken(*args):
+        if not met:
+            met.append(1)
+            monkeypatch.setattr(delivery, "create", create)
+            met.append(delivery.Outbox(spark, str(tmp_path / "sent"), "other").send(telemetry))
+        return create(*args)
+
+    monkeypatch.setattr(delivery, "create", overtaken)
+    assert box.send(telemetry) is None
+    rows = met[1].collect()
     assert told.sessions == len(rows) and told.spans == sum(r.spans_sent for r in rows)
-    assert spark.read.parquet(folder).count() == told.spans
-    after = Tables({**telemetry.frames, "span_delivery": ledger})
-    assert undelivered(after, "other").count() == due - len(rows)
+    sent = box.spans(shape)
+    assert sent.count() == told.spans == sent.select("session_id", "span_id").distinct().count()
+    # A driver that dies right after the commit is done: the next one asks the same ledger.
+    assert box.send(telemetry) is None
+    after = Tables({**telemetry.frames, "span_delivery": box.ledger().select(telemetry["span_delivery"].columns)})
+    assert delivery.undelivered(after, "other").count() == due - len(rows)
+
+    # A session whose files changed is sent again, the others are not.
+    one = rows[0].session_id
+    state = telemetry["extract_state"].withColumn(
+        "fingerprint", F.when(F.col("session_id") == one, "changed").otherwise(F.col("fingerprint"))
+    )
+    again = box.send(Tables({**telemetry.frames, "extract_state": state}))
+    assert [r.session_id for r in again.collect()] == [one]
+    assert {r.fingerprint for r in box.ledger().filter(F.col("session_id") == one).collect()} == {"changed"}
