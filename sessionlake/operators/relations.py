@@ -40,7 +40,7 @@ class Tables:
         return cls(
             {
                 name: spark.read.schema(shape).parquet(f"{root}/{name}")
-                for name, shape in schema.ALL_TABLES.items()
+                for name, shape in schema.RECORDED.items()
             }
         )
 
@@ -65,6 +65,8 @@ class Tables:
 
     def rollups(self, family: str) -> DataFrame:
         """One narrow row per session, kept: nearly every report reads it."""
+        if "session_rollups" in self.frames:  # an archive that keeps them up
+            return self["session_rollups"].filter(F.col("family") == family).drop("family")
         return self._once(
             "rollups", family, lambda: keep(rollups(self, family), f"{family}_rollups")
         )
@@ -97,6 +99,8 @@ class Tables:
         Only ids seen under two sessions get this far, so what the fat table is matched against
         is the resumed copies and not the corpus.
         """
+        if "copied_ids" in self.frames:  # an archive that keeps them up
+            return self["copied_ids"].filter(F.col("relation") == name).select("id", "session_id")
         pairs = self.live(name).select("id", "session_id")
         shared = (
             pairs.groupBy("id")
@@ -113,7 +117,10 @@ class Tables:
         )
 
     def _without_copies(self, name: str) -> DataFrame:
-        copies = self._once("copies", name, lambda: keep(self.copies(name), f"copies_{name}"))
+        if "copied_ids" in self.frames:
+            copies = self.copies(name)
+        else:
+            copies = self._once("copies", name, lambda: keep(self.copies(name), f"copies_{name}"))
         return self.live(name).join(copies, ["id", "session_id"], "left_anti")
 
 

@@ -91,7 +91,19 @@ LEDGERS: dict[str, T.StructType] = {
     ),
 }
 
-ALL_TABLES = {**ENTITIES, **ENRICHMENTS, **LEDGERS}
+# What an archive that keeps itself up holds beside: which ids each session has, which of them an earlier
+# session had first, and the counts of each session.
+DERIVED: dict[str, T.StructType] = {
+    "id_holders": _struct("session_id:s relation:s id:s started_at:t?"),
+    "copied_ids": _struct("session_id:s relation:s id:s"),
+    "session_rollups": _struct(
+        "session_id:s family:s project_dir:s? title:s? started_at:t? ended_at:t? wall_ms:l? active_ms:l? turns:l "
+        "api_calls:l tool_calls:l agent_runs:l compactions:l input_tokens:l output_tokens:l cache_read_tokens:l "
+        "cache_creation_tokens:l cost_usd:d unpriced_api_calls:l"
+    ),
+}
+RECORDED = {**ENTITIES, **ENRICHMENTS, **LEDGERS}
+ALL_TABLES = {**RECORDED, **DERIVED}
 
 # The natural key of each table and the order a session is read back in.
 KEYS: dict[str, list[str]] = {
@@ -112,6 +124,9 @@ KEYS: dict[str, list[str]] = {
     "session_enrichments": ["session_id"],
     "span_delivery": ["session_id", "backend"],
     "read_positions": ["session_id", "source"],
+    "id_holders": ["session_id", "relation", "id"],
+    "copied_ids": ["session_id", "relation", "id"],
+    "session_rollups": ["session_id", "family"],
 }
 
 # Tables a fork may hold copies in, so their rows carry `replayed`. Runs never do.
@@ -119,6 +134,11 @@ COUNTED = ["turns", "api_calls", "tool_calls", "agent_runs", "compactions", "int
 SESSION_OWNED = [name for name in ENTITIES if name not in ("sessions", "extract_state")]
 
 
+def bucket_column(table: str) -> str:
+    """What a relation's rows are looked up by: their session, or the id they are held under."""
+    return "id" if table == "id_holders" else session_column(table)
+
+
 def session_column(table: str) -> str:
     return "id" if table == "sessions" else "session_id"
 

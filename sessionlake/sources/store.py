@@ -16,6 +16,7 @@ from sessionlake.ingest.unknown import unknown_fields, unknown_kinds
 from sessionlake.operators.quality import shape_differences
 from sessionlake.operators.relations import Tables
 from sessionlake.session import keep
+from sessionlake.sources import upkeep
 from sessionlake.sources.commits import check_atomic, create, file_system
 from sessionlake.sources.discover import (
     Recorded,
@@ -67,9 +68,13 @@ class Store:
     one, never half a write; what a merge replaces stays on disk for those who still read it.
     """
 
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS, one_writer: bool = False) -> None:
-        """`one_writer`: the caller sees to it that nobody else writes, so any file system will do."""
-        self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
+    def __init__(
+        self, spark: SparkSession, root: str, buckets: int = BUCKETS, one_writer: bool = False, kept_up: bool = False
+    ) -> None:
+        """`one_writer`: the caller sees to it that nobody else writes, so any file system will do.
+        `kept_up`: every write also brings first holders and counts of sessions up to date, so that
+        reports need not look for copies; to be said by all who write, from the first write on."""
+        self.spark, self.root, self.buckets, self.kept_up = spark, root.rstrip("/"), buckets, kept_up
         check_atomic(spark, self.root, one_writer)
 
     def _files(self):
@@ -123,7 +128,9 @@ class Store:
         if len(versions) == 1:
             return rows.drop(WRITE)
         layer = in_order(versions)
-        replaced = opened(self._folders(REPLACED, versions[1:], REPLACED_SHAPE))
+        replaced = self._folders(REPLACED, versions[1:], REPLACED_SHAPE)
+        if schema.bucket_column(name) == schema.session_column(name):
+            replaced = opened(replaced)
         newest = replaced.groupBy("session_id").agg(F.max(layer).alias("_newest"))
         column = schema.session_column(name)
         held = rows.withColumn("_layer", layer).join(newest.withColumnRenamed("session_id", column), column, "left")
@@ -145,12 +152,20 @@ class Store:
         runs = None
         if name == "compactions":
             runs = migrated(self._placed("agent_runs", last, buckets).drop("bucket"), "agent_runs", last[1])
-        at = bucket_of(F.col(schema.session_column(name)), self.buckets)
-        return migrated(rows.drop("bucket"), name, last[1], runs).withColumn("bucket", at)
+        return migrated(rows.drop("bucket"), name, last[1], runs).withColumn("bucket", self._bucket(name))
 
-    def _buckets_of(self, sessions: DataFrame) -> list[int]:
-        """As many numbers as there are buckets at most."""
-        return sorted(r[0] for r in sessions.select(bucket_of(F.col("session_id"), self.buckets)).distinct().collect())
+    def _bucket(self, name: str) -> Column:
+        return bucket_of(F.col(schema.bucket_column(name)), self.buckets)
+
+    def _buckets_of(self, keys: DataFrame) -> list[int]:
+        """The buckets of a frame's first column: as many numbers as there are buckets at most."""
+        return sorted(r[0] for r in keys.select(bucket_of(F.col(keys.columns[0]), self.buckets)).distinct().collect())
+
+    def holders(self, ids: DataFrame) -> DataFrame:
+        """Who holds each of `ids` (id, relation): just their buckets are opened."""
+        ids = ids.select("id", "relation").distinct()
+        rows = self._current("id_holders", self._last(), self._buckets_of(ids))
+        return rows.join(ids, ["id", "relation"], "left_semi").select(*schema.DERIVED["id_holders"].names)
 
     def table(self, name: str, sessions: list[str] | DataFrame | None = None) -> DataFrame:
         """A relation as it stands. Of `sessions` only, where given: just their buckets are opened, and
@@ -169,7 +184,8 @@ class Store:
         return rows.select(*schema.ALL_TABLES[name].names)
 
     def tables(self, sessions: list[str] | None = None) -> Tables:
-        return Tables({n: (lambda n=n: self.table(n, sessions)) for n in schema.ALL_TABLES})
+        names = schema.ALL_TABLES if self.kept_up else schema.RECORDED
+        return Tables({n: (lambda n=n: self.table(n, sessions)) for n in names})
 
     def replace(self, tables: dict[str, DataFrame], sessions: DataFrame, tries: int = 5) -> None:
         """Puts the given sessions' rows in place of whatever the store holds of them, then merges
@@ -181,22 +197,27 @@ class Store:
         last = self._last()
         if last is not None and last[1] < SCHEMA_VERSION:
             self.merge()
-        version = uuid.uuid4().hex
         ids = sessions.select("session_id").distinct()
-        self._write(ids.withColumn("bucket", bucket_of(F.col("session_id"), self.buckets)), REPLACED, version)
-        for name, new in tables.items():
-            at = bucket_of(F.col(schema.session_column(name)), self.buckets)
-            self._write(new.withColumn("bucket", at), name, version)
-        sizes = {name: self._size(name, version) for name in tables}
+        written = self._written(tables, ids)
         for _ in range(tries):
             last = self._last()
             layers = self._layers(last)
-            for name in tables:
-                layers[name] = [*layers.get(name, []), (version, sizes[name])]
+            # What is kept up follows from the state it is added to, so it is found anew for each.
+            derived = upkeep.derived(self, tables, ids) if self.kept_up else []
+            for name, layer in [*written, *(w for group in derived for w in self._written(*group))]:
+                layers[name] = [*layers.get(name, []), layer]
             if self._commit(last, layers):
                 return self.compact()
         raise Busy(f"{self.root}: {tries} writes were overtaken")
 
+    def _written(self, tables: dict[str, DataFrame], ids: DataFrame) -> list[tuple[str, tuple[str, int]]]:
+        """Writes a version of each relation that replaces the sessions of `ids`."""
+        version = uuid.uuid4().hex
+        self._write(ids.withColumn("bucket", bucket_of(F.col("session_id"), self.buckets)), REPLACED, version)
+        for name, new in tables.items():
+            self._write(new.withColumn("bucket", self._bucket(name)), name, version)
+        return [(name, (version, self._size(name, version))) for name in tables]
+
     def compact(self) -> bool:
         """Merges each relation's last layers where `FAN` or more of like size stand: a layer goes with the
         one before while all behind that are half its size. Whether it was done: another writer's commit
