@@ -6,6 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# An absolute path in a message; assignments, changes of directory and a directory before a
+# command word; a command word with what may belong to it; what chains commands; a worktree's folder.
+MASKED_PATH = r"(^|\s)/[^\s]*[^\s.,;:]"
+ASSIGNMENTS = r"^([A-Za-z_][A-Za-z0-9_]*=[^\s;]*[\s;]+)+"
+CHANGES_OF_DIRECTORY = r"^(\s*cd\s+[^&;|]+&&\s*)+"
+COMMAND_FOLDER = r"^\S*/"
+COMMAND_HEAD = r"^(\S+(\s+[a-z][a-z-]*){0,2})(\s|$)"
+CHAINS = r"&&|\||;"
+WORKTREE = r"(/\.claude)?/worktrees/[^/]+(/.*)?$"
+
+
 def cut(text: Column, chars: int) -> Column:
     """The first `chars` characters and one more, so a reader can tell cut from ended."""
     return F.substring(text, 1, chars + 1)
@@ -18,25 +29,23 @@ def collapse(text: Column) -> Column:
 def signature_line(text: Column) -> Column:
     """The line a failure is grouped by: its first, whitespace collapsed, absolute paths masked."""
     line = collapse(F.split_part(text, F.lit("\n"), F.lit(1)))
-    return F.regexp_replace(line, r"(^|\s)/[^\s]*[^\s.,;:]", "$1<path>")
+    return F.regexp_replace(line, MASKED_PATH, "$1<path>")
 
 
 def invocation(command: Column) -> Column:
     """A command line without what precedes its command word: env, `cd` wrappers, directories."""
-    bare = F.regexp_replace(F.trim(command), r"^([A-Za-z_][A-Za-z0-9_]*=[^\s;]*[\s;]+)+", "")
-    bare = F.regexp_replace(bare, r"^(\s*cd\s+[^&;|]+&&\s*)+", "")
-    return F.regexp_replace(bare, r"^\S*/", "")
+    bare = F.regexp_replace(F.trim(command), ASSIGNMENTS, "")
+    bare = F.regexp_replace(bare, CHANGES_OF_DIRECTORY, "")
+    return F.regexp_replace(bare, COMMAND_FOLDER, "")
 
 
 def command_head(invoked: Column, chars: int) -> Column:
     """The command word and at most two bare lowercase words after it."""
-    return F.substring(
-        F.regexp_extract(invoked, r"^(\S+(\s+[a-z][a-z-]*){0,2})(\s|$)", 1), 1, chars
-    )
+    return F.substring(F.regexp_extract(invoked, COMMAND_HEAD, 1), 1, chars)
 
 
 def is_chained(invoked: Column) -> Column:
-    return invoked.rlike(r"&&|\||;")
+    return invoked.rlike(CHAINS)
 
 
 def directory_of(path: Column) -> Column:
@@ -57,7 +66,7 @@ def file_suffix(path: Column) -> Column:
 
 def worktree_base(directory: Column) -> Column:
     """A worktree counts under the checkout it was cut from."""
-    return F.regexp_replace(directory, r"(/\.claude)?/worktrees/[^/]+(/.*)?$", "")
+    return F.regexp_replace(directory, WORKTREE, "")
 
 
 def under_path(column: Column, root: str | Column) -> Column:

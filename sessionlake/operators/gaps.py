@@ -228,6 +228,8 @@ def missing_file_recovery(
     """
     calls = t.corpus("tool_calls")
     path = json_field(F.col("input"), "file_path")
+    # With no calls to look at, a failure still keeps its row.
+    steps = [F.col("index") + k for k in range(1, within_calls + 1)] or [F.lit(None).cast("int")]
     failed = calls.filter("is_error")
     if missing is not None:
         failed = failed.filter(F.contains("result", F.lit(missing)))
@@ -235,7 +237,7 @@ def missing_file_recovery(
         *THREAD, "index", path.alias("path")
     ).filter(F.col("path").isNotNull()).select(
         *THREAD, "index", directory_of(F.col("path")).alias("directory"),
-        F.explode(F.sequence(F.col("index") + 1, F.col("index") + within_calls)).alias("at"),
+        F.explode(F.array(*steps)).alias("at"),
     )
     asked = F.coalesce(json_field(F.col("input"), "command"), F.lit(""))
     looks = calls.filter(

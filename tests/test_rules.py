@@ -141,3 +141,13 @@ def test_spans_are_sent_once(spark, telemetry, tmp_path, monkeypatch):
     again = box.send(Tables({**telemetry.frames, "extract_state": state}))
     assert [r.session_id for r in again.collect()] == [one]
     assert {r.fingerprint for r in box.ledger().filter(F.col("session_id") == one).collect()} == {"changed"}
+
+
+def test_no_calls_to_look_at_means_no_listing(telemetry):
+    scope = Scope(project="/p", as_of="2024-01-20", window_days=14)
+    rows = gaps.missing_file_recovery(telemetry, scope, within_calls=0).collect()
+    told = {(r.period, r.recovery): r.failures for r in rows}
+    most = {(r.period, r.recovery): r.failures for r in gaps.missing_file_recovery(telemetry, scope, within_calls=3).collect()}
+    for period in {p for p, _ in told}:
+        assert told[period, "no listing"] == sum(n for (p, _), n in most.items() if p == period)
+        assert told[period, "listed elsewhere"] == told[period, "listed the directory"] == 0
