@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -65,9 +67,8 @@ def select_sessions(
 ) -> DataFrame:
     """A stratified reading set: costliest, most errors, most compactions, one per major skill, rest.
 
-    A stratum walks down its ranking past sessions already taken, and a slot it cannot fill goes
-    to discovery. It can walk past at most a whole budget of taken sessions, so each offers that
-    many and its quota; the walk itself is a fold over those offers.
+    Strata draw in turn, each the first few of what those before it left, and what they leave of the
+    budget goes to discovery. Skills draw together: see `matched`.
     """
     # One narrow row per session of the window, ranked several ways: kept rather than recomputed.
     pool = keep(session_pool(t, scope, min_api_calls), "session_pool")
@@ -79,74 +80,84 @@ def select_sessions(
         .join(pool.select("session_id", "started_at"), "session_id"),
         "skill_users",
     )
-    major = users.groupBy("skill").agg(F.count(F.lit(1)).alias("n")).filter(
-        F.col("n") >= skill_threshold
+    major = keep(
+        users.groupBy("skill").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= skill_threshold), "skills"
     )
+    skills = major.count()
     # The budget grows with the number of major skills, which is only known by counting them.
-    ranked = cost_quota + error_quota + compaction_quota + discovery_quota
-    total = ranked + major.count()
-
-    def offers(
-        phase: int, stratum: str, rows: DataFrame, order: list[Column], quota: int
-    ) -> DataFrame:
-        return _first(rows, order, quota + total).select(
-            F.lit(phase).alias("phase"), F.lit("").alias("skill"), "rank",
-            F.lit(stratum).alias("stratum"), "session_id", F.lit(quota).alias("quota"),
-        )
+    total = cost_quota + error_quota + compaction_quota + discovery_quota + skills
+    drawn: list[DataFrame] = []
 
-    def by_metric(phase: int, stratum: str, metric: str, quota: int) -> DataFrame:
-        order = [F.col(metric).desc(), F.col("session_id")]
-        return offers(phase, stratum, pool.filter(F.col(metric) > 0), order, quota)
+    def left(rows: DataFrame) -> DataFrame:
+        for earlier in drawn:
+            rows = rows.join(earlier.select("session_id"), "session_id", "left_anti")
+        return rows
 
-    recent = Window.partitionBy("skill").orderBy(
-        F.col("started_at").desc_nulls_first(), "session_id"
-    )
-    skilled = (
-        users.join(major.select("skill"), "skill", "left_semi")
-        .withColumn("rank", F.row_number().over(recent))
-        .filter(F.col("rank") <= 1 + total)
-        .select(
-            F.lit(4).alias("phase"), "skill", "rank",
-            F.concat(F.lit("skill:"), "skill").alias("stratum"), "session_id",
-            F.lit(1).alias("quota"),
+    def draw(phase: int, stratum: str, rows: DataFrame, order: list[Column], quota: int) -> None:
+        told = _first(left(rows), order, quota).select(
+            F.lit(phase).alias("phase"), F.lit("").alias("skill"), "rank", F.lit(stratum).alias("stratum"),
+            "session_id",
         )
+        drawn.append(keep(told, "drawn"))
+
+    metrics = (
+        ("cost", "cost_usd", cost_quota), ("tool-errors", "tool_errors", error_quota),
+        ("compactions", "compactions", compaction_quota),
     )
-    discovery = offers(
-        5, "discovery",
-        pool.filter(F.col("api_calls") >= min_discovery_api_calls),
-        [drawn_by(F.col("session_id"), seed), F.col("session_id")], total,
-    )
-    offered = (
-        by_metric(1, "cost", "cost_usd", cost_quota)
-        .unionByName(by_metric(2, "tool-errors", "tool_errors", error_quota))
-        .unionByName(by_metric(3, "compactions", "compactions", compaction_quota))
-        .unionByName(skilled)
-        .unionByName(discovery)
-    )
-    ordered = F.sort_array(
-        F.collect_list(F.struct("phase", "skill", "rank", "stratum", "session_id", "quota"))
+    for phase, (stratum, metric, quota) in enumerate(metrics, start=1):
+        draw(phase, stratum, pool.filter(F.col(metric) > 0), [F.col(metric).desc(), F.col("session_id")], quota)
+    wanted = best_of_each(
+        left(users.join(major.select("skill"), "skill", "left_semi")), "skill",
+        [F.col("started_at").desc_nulls_first(), F.col("session_id")], skills,
     )
-    pick = "array<struct<stratum:string,session_id:string>>"
-
-    def take(chosen: Column, offer: Column) -> Column:
-        free = ~F.exists(chosen, lambda c: c["session_id"] == offer["session_id"])
-        held = F.size(F.filter(chosen, lambda c: c["stratum"] == offer["stratum"]))
-        fits = free & (held < offer["quota"]) & (F.size(chosen) < total)
-        one = F.struct(
-            offer["stratum"].alias("stratum"), offer["session_id"].alias("session_id")
+    drawn.append(
+        matched(keep(wanted, "wanted")).select(
+            F.lit(4).alias("phase"), "skill", F.lit(1).alias("rank"),
+            F.concat(F.lit("skill:"), "skill").alias("stratum"), "session_id",
         )
-        return F.when(fits, F.concat(chosen, F.array(one))).otherwise(chosen)
-
-    chosen = offered.agg(ordered.alias("offers")).select(
-        F.posexplode(F.aggregate("offers", F.array().cast(pick), take)).alias("n", "pick")
     )
-    return chosen.select("n", "pick.*").join(pool, "session_id").select(
+    draw(
+        5, "discovery", pool.filter(F.col("api_calls") >= min_discovery_api_calls),
+        [drawn_by(F.col("session_id"), seed), F.col("session_id")], total - sum(d.count() for d in drawn),
+    )
+    # A row for each place of the budget at most.
+    chosen = reduce(DataFrame.unionByName, drawn)
+    n = F.row_number().over(Window.orderBy("phase", "skill", "rank")) - 1
+    return chosen.withColumn("n", n).join(pool, "session_id").select(
         "n", "stratum", "session_id", "started_at", "turns", "agent_runs", "tool_calls",
         "tool_errors", "compactions", money(F.col("cost_usd")).alias("cost_usd"),
         "unpriced_api_calls",
     )
 
 
+def best_of_each(rows: DataFrame, key: str, order: list[Column], most: int, ways: int = 64) -> DataFrame:
+    """The first `most` rows of each key with their rank. A key's rows are ranked in parts first, and
+    only the best of each part go on, so no key is in one task whole."""
+    part = F.pmod(F.xxhash64(*rows.columns), F.lit(ways))
+    local = Window.partitionBy(key, "_part").orderBy(*order)
+    best = rows.withColumn("_part", part).withColumn("rank", F.row_number().over(local)).filter(F.col("rank") <= most)
+    across = Window.partitionBy(key).orderBy(*order)
+    return best.drop("_part").withColumn("rank", F.row_number().over(across)).filter(F.col("rank") <= most)
+
+
+def matched(wanted: DataFrame) -> DataFrame:
+    """(skill, rank, session_id): each skill with a session of its own, as if skills chose in order of
+    their names, each the best of its list that is left. `wanted` holds the lists, rank from 1.
+
+    All choose at once; of several that chose one session the first by name holds it, the others go on
+    to the next of their lists, also a skill that loses what it held. It ends when nobody loses: after as
+    many rounds as the longest run of such losses."""
+    held = keep(wanted.filter("rank = 1").select("skill", "rank", "session_id"), "matched")
+    while True:
+        first = held.groupBy("session_id").agg(F.min("skill").alias("skill"))
+        lost = keep(held.join(first, ["session_id", "skill"], "left_anti").select("skill", "rank"), "lost")
+        if lost.isEmpty():
+            return held
+        again = lost.select("skill", (F.col("rank") + 1).alias("rank")).join(wanted, ["skill", "rank"])
+        stay = held.join(lost.select("skill"), "skill", "left_anti")
+        held = keep(stay.unionByName(again.select("skill", "rank", "session_id")), "matched")
+
+
 def select_runs(
     t: Tables, scope: Scope, runs_per_stratum: int = 1, min_runs: int = 5
 ) -> DataFrame:
