@@ -31,7 +31,7 @@ def test_pipeline_packs_what_the_stages_keep(spark, folder):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_odd_rows_and_none(spark, odd, none, folder, labels, benchmark):

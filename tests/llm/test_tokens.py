@@ -142,7 +142,7 @@ def test_codes_of_odd_rows_and_of_none(odd, none):
 
 
 def test_separator_scan_counts_whole_documents(documents, texts, odd, none):
-    tool = Encoder(vocabulary("byte_bpe_50k.json"), True, True).literal
+    tool = encoder(vocabulary("byte_bpe_50k.json"), True, True).literal
     want = {i: len(tool.encode(t).ids) + 1 for i, t in texts}
     files = separators.write_flat(documents.repartition(3), block=1000)
     rows = separators.counts(files).collect()
