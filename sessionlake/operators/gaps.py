@@ -11,7 +11,7 @@ from sessionlake.functions.times import seconds_between, shifted
 from sessionlake.functions.tools import json_field
 from sessionlake.operators.corpus import MAIN_THREAD, money
 from sessionlake.operators.relations import Scope, Tables, by_period, periods, project_sessions
-from sessionlake.operators.windows import THREAD, previous
+from sessionlake.operators.windows import THREAD, previous, running
 
 MIN_REBUILT_TOKENS = 20_000
 MIN_REBUILT_PCT = 90
@@ -44,6 +44,23 @@ def _agent_of_thread(t: Tables) -> DataFrame:
     )
 
 
+def _after_compaction(rebuilt: DataFrame, compactions: DataFrame) -> DataFrame:
+    """The rebuilding calls with a compaction between the call before and themselves, both ends a second
+    later. Calls and compactions stand in one order of time, and a call asks for the latest compaction so
+    far: no call is compared with all compactions of its thread."""
+    calls = rebuilt.select(
+        *THREAD, shifted(F.col("started_at"), 1).alias("at"), shifted(F.col("previous_start"), 1).alias("since")
+    )
+    pressed = compactions.select(
+        *THREAD, F.col("timestamp").alias("at"), F.lit(None).cast("timestamp").alias("since")
+    )
+    events = calls.unionByName(pressed).filter(F.col("at").isNotNull()).withColumn("asks", F.col("since").isNotNull())
+    folded = running(
+        events, THREAD, F.to_date("at"), ["at", "asks"], maxes={"latest": F.when(~F.col("asks"), F.col("at"))}
+    )
+    return folded.filter(F.col("asks") & (F.col("latest") > F.col("since")))
+
+
 def context_reloads(
     t: Tables,
     scope: Scope,
@@ -64,17 +81,7 @@ def context_reloads(
             min_rebuilt_tokens, min_rebuilt_pct,
         )
     )
-    boundary = t.corpus("compactions").select(
-        F.col("session_id").alias("k_session"), F.col("source").alias("k_source"),
-        F.col("timestamp").alias("k_at"),
-    )
-    landed = (
-        (F.col("session_id") == F.col("k_session"))
-        & (F.col("source") == F.col("k_source"))
-        & (F.col("k_at") > shifted(F.col("previous_start"), 1))
-        & (F.col("k_at") <= shifted(F.col("started_at"), 1))
-    )
-    compacting = rebuilt.join(boundary, landed, "left_semi").groupBy(*THREAD).agg(
+    compacting = _after_compaction(rebuilt, t.corpus("compactions")).groupBy(*THREAD).agg(
         F.count(F.lit(1)).alias("compaction_reloads")
     )
     idle = seconds_between(F.col("previous_start"), F.col("started_at")) >= idle_seconds

@@ -151,3 +151,19 @@ def test_no_calls_to_look_at_means_no_listing(telemetry):
     for period in {p for p, _ in told}:
         assert told[period, "no listing"] == sum(n for (p, _), n in most.items() if p == period)
         assert told[period, "listed elsewhere"] == told[period, "listed the directory"] == 0
+
+
+def test_reloads_after_compactions_at_the_bounds(spark):
+    from sessionlake.operators.gaps import _after_compaction
+
+    spans = [(1, 100.0, 200.0), (2, 200.0, 200.0), (3, 86_000.0, 87_000.0), (4, 90_000.0, 400_000.0), (5, 5.0, None)]
+    pressed = [100.5, 101.0, 201.0, 201.5, 86_500.0, 90_000.0, 399_999.0]
+    def at(column):
+        return F.timestamp_micros(F.lit(1_704_067_200_000_000) + (F.col(column) * 1_000_000).cast("long"))
+    calls = spark.createDataFrame([("s", "main", *r) for r in spans], "session_id string, source string, n int, a double, b double")
+    calls = calls.select("session_id", "source", at("a").alias("previous_start"), at("b").alias("started_at"))
+    held = spark.createDataFrame([("s", "main", p) for p in pressed] + [("s", "r", 150.0)], "session_id string, source string, p double")
+    got = _after_compaction(calls, held.select("session_id", "source", at("p").alias("timestamp")))
+    want = sorted(a for _, a, b in spans if b is not None and any(a + 1 < p <= b + 1 for p in pressed))
+    assert sorted(r.since.second + r.since.minute * 60 + r.since.hour * 3600 + (r.since.day - 1) * 86_400 - 1
+                  for r in got.collect()) == want
