@@ -24,7 +24,7 @@ from sessionlake.operators.sheets import (
     named_tools,
     own_turn,
 )
-from sessionlake.operators.windows import THREAD, block_of, running
+from sessionlake.operators.windows import THREAD, block_of, blocks_holding, covering, running
 from sessionlake.schema import MAIN
 
 
@@ -116,27 +116,20 @@ def tool_rows(t: Tables, nav_chars: int = NAV_CHARS) -> DataFrame:
     return tools.join(calls, CALL)
 
 
-def _hours(start: Column, end: Column) -> Column:
-    return F.explode(
-        F.sequence(F.floor(F.unix_seconds(start) / 3600), F.floor(F.unix_seconds(end) / 3600))
-    )
-
-
 def compaction_turns(t: Tables) -> DataFrame:
     """The turn each compaction fell in: the one started last of those running at that instant.
 
-    Turns are laid over the hours they run through, so a compaction meets the turns of its own
-    hour on equality instead of every turn of its thread.
+    A turn is laid over blocks of hours, each twice the size of the one below, so that a few dozen
+    cover it however long it ran, and a compaction meets on equality the turns that cover its hour.
     """
+    hour = lambda c: F.floor(F.unix_seconds(c) / 3600).cast("long")
     turns = t.live("turns").select(
         *THREAD, F.col("id").alias("turn_id"), "index", "started_at", "ended_at",
-        _hours(F.col("started_at"), F.greatest("ended_at", "started_at")).alias("hour"),
-    )
-    marks = t.live("compactions").select(
-        *THREAD, "id", "timestamp", F.floor(F.unix_seconds("timestamp") / 3600).alias("hour")
+        F.inline(covering(hour("started_at"), hour(F.greatest("ended_at", "started_at")))),
     )
+    marks = t.live("compactions").select(*THREAD, "id", "timestamp", F.inline(blocks_holding(hour("timestamp"))))
     return (
-        marks.join(turns, [*THREAD, "hour"])
+        marks.join(turns, [*THREAD, "level", "block"])
         .filter(
             (F.col("timestamp") >= F.col("started_at")) & (F.col("timestamp") < F.col("ended_at"))
         )

@@ -88,6 +88,40 @@ def running(
     )
 
 
+#: Sizes of blocks that cover an interval: 2^0 to 2^27.
+LEVELS = 28
+
+
+def covering(first: Column, last: Column) -> Column:
+    """The blocks (level, block) that make up the whole numbers from `first` to `last`: of each size two
+    at most, none in another. A block of a level holds 2^level numbers."""
+
+    def at(level: Column) -> Column:
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        low, high = F.ceil(first / size).cast("long"), F.floor((last + 1) / size).cast("long")
+        odd_low, odd_high = F.pmod(low, F.lit(2)) == 1, F.pmod(high, F.lit(2)) == 1
+        block = lambda b: F.struct(level.alias("level"), b.alias("block"))
+        return F.array(
+            F.when((low < high) & odd_low, block(low)),
+            F.when((low + odd_low.cast("long") < high) & odd_high, block(high - 1)),
+        )
+
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    return F.array_compact(F.flatten(F.transform(levels, at)))
+
+
+def blocks_holding(number: Column) -> Column:
+    """The block of each size that a whole number is in."""
+    levels = F.sequence(F.lit(0), F.lit(LEVELS - 1))
+    return F.transform(
+        levels,
+        lambda level: F.struct(
+            level.alias("level"),
+            F.floor(number / F.call_function("shiftleft", F.lit(1).cast("long"), level)).cast("long").alias("block"),
+        ),
+    )
+
+
 def previous(
     df: DataFrame, position: str, values: Mapping[str, Column], keys: Sequence[str] = THREAD
 ) -> DataFrame:

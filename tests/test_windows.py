@@ -67,3 +67,24 @@ def test_ancestors_climb_deep_and_stop_at_cycles(spark):
     got = {(r.node, r.above) for r in ancestors(df, ["session_id"], "node", "above").collect()}
     chain = {(f"n{i}", f"n{j}") for i in range(20) for j in range(i + 1, 21)}
     assert got == chain | {("x", "y"), ("y", "x"), ("x", "x"), ("y", "y")}
+
+
+def test_blocks_cover_an_interval_once(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sessionlake.operators.windows import blocks_holding, covering
+
+    rng = random.Random(1)
+    ends = [(0, 0), (1, 1), (-3, 5), (-9, -9), (7, 6), (0, 63), (5, 473_000), (None, 3), (3, None)]
+    ends += [(a, a + rng.randint(0, 70)) for a in (rng.randint(-50, 50) for _ in range(60))]
+    rows = spark.createDataFrame([(k, a, b) for k, (a, b) in enumerate(ends)], "k int, a long, b long")
+    cover = rows.select("k", F.inline(covering(F.col("a"), F.col("b"))))
+    points = spark.range(-80, 130).select(F.col("id"), F.inline(blocks_holding(F.col("id"))))
+    met = cover.join(points, ["level", "block"]).select("k", "id").collect()
+    assert len(met) == len(set(map(tuple, met)))
+    assert set(map(tuple, met)) == {
+        (k, n) for k, (a, b) in enumerate(ends) if a is not None and b is not None for n in range(-80, 130) if a <= n <= b
+    }
+    assert cover.groupBy("k").count().agg(F.max("count")).first()[0] <= 40
