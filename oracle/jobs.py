@@ -196,6 +196,57 @@ SQL["spans"] = T(
   {ts("ended_at")} AS ended_at, n_attributes FROM span""",
     _SPANS,
 )
+
+
+def _valued(sid: str, attributes: dict[str, str], rows: str) -> str:
+    """A row per attribute that holds something."""
+    named = ", ".join(f"{{'name': '{n}', 'said': ({v})::VARCHAR}}" for n, v in attributes.items())
+    return f"""SELECT session_id, span_id, a.name AS name, a.said AS said
+FROM (SELECT x.session_id, {sid} AS span_id, unnest([{named}]) AS a FROM {rows}) WHERE a.said IS NOT NULL"""
+
+
+def _true(condition: str) -> str:
+    return f"CASE WHEN {condition} THEN 'true' END"
+
+
+def _cut(name: str) -> str:
+    return f"substr(x.{name}, 1, 40)"
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: f"x.{n}" for n in names}
+
+
+_TRACED = "(SELECT * FROM {} WHERE session_id NOT IN (SELECT session_id FROM withheld)) x"
+SQL["span_attributes"] = T(
+    " UNION ALL ".join([
+        _valued(_sid("turn", "x.source", "x.id"), {
+            **_same("index", "source", "command_name"), "prompt": _cut("prompt"), "command_args": _cut("command_args"),
+        }, _TRACED.format("live_turns")),
+        _valued(_sid("api_call", "x.source", "x.id"), {
+            **_same("model", "input_tokens", "output_tokens", "stop_reason", "cache_read_tokens", "cache_creation_tokens",
+                    "source", "effort", "fallback_from", "attribution_skill", "request_id"),
+            "synthetic": _true("x.synthetic"), "text": _cut("text"), "thinking": _cut("thinking"),
+        }, _TRACED.format("live_api_calls")),
+        _valued(_sid("tool_call", "x.source", "x.id"), {
+            **_same("name", "source", "index", "offload_file"), "input": _cut("input"), "result": _cut("result"),
+            **{n: _true(f"x.{n}") for n in ("server_side", "duration_synthetic", "is_error")},
+            "incomplete": _true("x.ended_at IS NULL"),
+        }, _TRACED.format(
+            "live_tool_calls k ANTI JOIN (SELECT session_id, tool_use_id AS id FROM live_agent_runs) USING (session_id, id)")),
+        _valued(_sid("agent_run", _EMPTY, "x.id"), {
+            **_same("agent_type", "parent_agent_id", "tool_use_id", "model", "workflow_id", "spawn_depth"),
+            "is_fork": _true("x.is_fork"), "brief": _cut("brief"), "orphan": _true("x.spot IS NULL"),
+        }, _TRACED.format("placed_run")),
+        _valued(_sid("compaction", "x.source", "x.id"), _same("source", "trigger", "pre_tokens", "post_tokens"),
+                _TRACED.format("live_compactions")),
+        _valued(_sid("session", _EMPTY, "x.session_id"), {
+            **_same("version", "entrypoint", "project_dir", "git_branch", "active_ms"), "title": _cut("title"),
+            "agent_name": _cut("agent_name"),
+        }, "(SELECT *, id AS session_id FROM sessions WHERE id NOT IN (SELECT session_id FROM withheld)) x"),
+    ]),
+    _SPANS,
+)
 _DUE = """
 due AS (SELECT s.session_id, s.fingerprint FROM extract_state s LEFT JOIN span_delivery d ON d.session_id = s.session_id AND d.backend = 'local'
         WHERE d.session_id IS NULL OR d.fingerprint <> s.fingerprint OR d.mapper_version <> '1')"""
@@ -212,6 +263,10 @@ SQL["pr_events"] = T(
     f"""SELECT x.session_id, {_sid("session", _EMPTY, "x.session_id")} AS span_id, {ts("x.timestamp")} AS at, 'pr_link' AS name, 1 AS n_attributes
 FROM pr_links x"""
 )
+SQL["pr_event_attributes"] = T(
+    _valued(_sid("session", _EMPTY, "x.session_id"),
+            {"number": "x.pr_number", "url": _cut("pr_url"), "repository": _cut("pr_repository")}, "pr_links x")
+)
 SQL["unparented_calls"] = T(
     """SELECT session_id, 'call under no held turn' AS rule, source || ' ' || id AS detail FROM live_api_calls c WHERE turn_id IS NOT NULL
 AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.session_id = c.session_id AND t.source = c.source AND t.id = c.turn_id)"""
@@ -273,6 +328,7 @@ SQL["stored_secrets"] = T(
     )
 )
 SQL["document_secrets"] = f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_SECRET}')"
+SQL["planted_secrets"] = f"SELECT doc_id FROM documents WHERE doc_id % 9 < 7 OR regexp_matches(text, '{_SECRET}')"
 
 # Functions over whole texts and paths.
 SQL["document_signatures"] = f"SELECT doc_id, {signature('text')} AS signature FROM documents"

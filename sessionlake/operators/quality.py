@@ -106,7 +106,3 @@ def shape_differences(df: DataFrame, table: str) -> list[str]:
         for n in declared if n in held and held[n] != declared[n]
     ]
     return missing + extra + typed
-
-
-def is_text(field: T.StructField) -> bool:
-    return isinstance(field.dataType, T.StringType)
