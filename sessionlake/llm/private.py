@@ -53,7 +53,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
 _SECURITY = re.compile(r"(?<![0-9])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9])")
 _LOGIN = re.compile(r"[^\s/?#@:\[\]]+:[^\s/?#@]+@")
-_SIX = re.compile(r"\[[0-9A-Fa-f:]*:[0-9A-Fa-f:.]*\]")
+_SIX = re.compile(r"\[([0-9A-Fa-f:.]*)\]")
 _CONTACT = {
     "mailto:": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]*[A-Za-z0-9]"),
     "tel:": re.compile(r"\+?[0-9][0-9().-]*[0-9]"),
@@ -172,7 +172,8 @@ class Reader:
             if at >= self.done["login"] and (found := _LOGIN.match(text, at)):
                 self.add("login", at, found.end() - 1)
                 self.done["login"] = found.end()
-            if six := _SIX.match(text, at):
+            # One pass over what may stand in brackets; a colon must come before the first dot.
+            if (six := _SIX.match(text, at)) and ":" in six[1].partition(".")[0]:
                 self.add("ip6", *six.span())
         elif CUES[word] == "contact" and at >= self.done["contact"]:
             if found := _CONTACT[word].match(text, at):
