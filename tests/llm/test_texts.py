@@ -331,3 +331,27 @@ def test_kth_largest(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for k in (1, 2, 500, 1500, 2999, 3000):
         assert importance.kth_largest(df, "v", k) == sorted(values, reverse=True)[k - 1]
+
+
+def test_text_dimensions_keep_apart_values_that_begin_alike(spark):
+    docs = [(k, "x", f"https://www.host{k % 7}.org/", "en", 1) for k in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long")
+    rows = hilbert.placed(df, dimensions=("source",), carry=("source",)).collect()
+    codes = {}
+    for r in rows:
+        codes.setdefault(r.curve, set()).add(r.source)
+    assert len(codes) == 7 and all(len(v) == 1 for v in codes.values())
+    assert [sorted(v)[0] for _, v in sorted(codes.items())] == sorted({d[2] for d in docs})
+    many = spark.createDataFrame([(f"lead {k:05d}",) for k in range(6000)] + [(None,)], "d0 string")
+    bounds = hilbert.text_bounds(many, "d0", 254)
+    parts = hilbert.coded(many.toPandas()["d0"], bounds)
+    assert parts[-1] == 0 and (np.diff(parts[:-1]) >= 0).all() and np.bincount(parts[:-1])[1:].max() < 120
+
+
+def test_brackets_are_read_once():
+    import time
+
+    begun = time.perf_counter()
+    text = "see http://[" + ":" * 400_000 + " and ssh://[::1.2.3.4] or http://[fe80::1]/ or x://[1.2:3]"
+    assert [text[a:b] for kind, a, b in private.find(text) if kind == "ip6"] == ["[::1.2.3.4]", "[fe80::1]"]
+    assert time.perf_counter() - begun < 5
