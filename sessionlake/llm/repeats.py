@@ -41,6 +41,8 @@ from sessionlake.llm.common import fingerprint, fresh, id_and_text, quoted, slic
 from sessionlake.session import keep
 
 UNIT, NESTED, MIN_WORDS = "sentence", "nested", 6
+#: Bytes that tell texts under one id apart, written with every unit.
+MARK_BYTES = 8
 
 #: What parts two units.
 CUTS = {
@@ -138,7 +140,7 @@ def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> Data
         for batch in slices(batches):
             row, prints, digests, starts, ends = [], [], [], [], []
             for k, text in enumerate(batch.column("text")):
-                own = hashlib.md5(text.as_buffer()).digest()
+                own = hashlib.md5(text.as_buffer()).digest()[:MARK_BYTES]
                 own_units = nested_of(text.as_py(), min_words) if unit == NESTED else units_of(text.as_py(), unit, min_words)
                 for digest, start, end in own_units:
                     row.append(k), prints.append(own), digests.append(digest)
@@ -197,7 +199,7 @@ def without_repeats(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORD
         spans = spans.mapInArrow(flattened, spans.schema)
     spans = spans.withColumnsRenamed({"doc_id": "gone_id", "fp": "gone_fp"})
     mark, own = fresh(docs, "fp"), docs.columns
-    marked = docs.withColumn(mark, fingerprint(F.col("text")))
+    marked = docs.withColumn(mark, F.substring(fingerprint(F.col("text")), 1, MARK_BYTES))
     same = (marked[mark] == spans["gone_fp"]) & marked["doc_id"].eqNullSafe(spans["gone_id"])
 
     @F.arrow_udf("string")
