@@ -126,15 +126,17 @@ def fingerprints(files: DataFrame, extractor_version: str) -> DataFrame:
 PATHS_AT_ONCE, MOST_PATHS = 5_000, 100_000
 
 
-def only(read: DataFrame, files: DataFrame, path: str = "_metadata.file_path") -> DataFrame:
-    """Of what a reader would read, just `files`. Their addresses are conditions on the files' own data,
-    so Spark leaves the others unopened; they reach the driver, which holds the listing anyway."""
+def only(read: DataFrame, files: DataFrame, *columns: str | Column) -> DataFrame:
+    """Columns of what a reader would read, of just `files`. Their addresses are conditions on the files' own
+    data, so Spark leaves the others unopened; they reach the driver, which holds the listing anyway."""
+    path = "_metadata.file_path"
     addresses = [r[0] for r in files.select("address").distinct().limit(MOST_PATHS + 1).collect()]
     if len(addresses) > MOST_PATHS:
         wanted = files.select(F.col("address").alias("_address")).distinct()
-        return read.withColumn("_address", F.col(path)).join(wanted, "_address", "left_semi").drop("_address")
+        told = read.select(F.col(path).alias("_address"), *columns)
+        return told.join(wanted, "_address", "left_semi").drop("_address")
     runs = [addresses[k : k + PATHS_AT_ONCE] for k in range(0, len(addresses), PATHS_AT_ONCE)] or [[]]
-    return reduce(DataFrame.unionByName, [read.filter(F.col(path).isin(run)) for run in runs])
+    return reduce(DataFrame.unionByName, [read.filter(F.col(path).isin(run)).select(*columns) for run in runs])
 
 
 def numbered_lines(
@@ -152,13 +154,11 @@ def numbered_lines(
         .option("pathGlobFilter", pattern)
         .text(root)
     )
-    if files is not None:
-        read = only(read, files)
-    read = read.select(
+    columns = (
         F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("seen"), F.col("value").alias("raw"),
     )
-    read = keep(read, "lines")
+    read = keep(read.select(*columns) if files is None else only(read, files, *columns), "lines")
     blocks = read.groupBy("path", "block").agg(
         F.min("seen").alias("first_seen"), F.count(F.lit(1)).alias("n")
     )
@@ -197,8 +197,8 @@ def metas(spark: SparkSession, root: str, files: DataFrame) -> DataFrame:
     """What is written beside each agent transcript."""
     held = files.filter(F.col("role") == "meta")
     told = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    told = only(told.option("pathGlobFilter", "*.meta.json").text(root), held)
-    told = told.select(_decoded(F.col("_metadata.file_path")).alias("file"), "value")
+    told = told.option("pathGlobFilter", "*.meta.json").text(root)
+    told = only(told, held, _decoded(F.col("_metadata.file_path")).alias("file"), "value")
     held = held.select("file", "session_id", F.col("source").alias("agent_id"), "workflow_id")
     return told.select("file", read_json(F.col("value"), META).alias("m")).join(held, "file").select(
         "session_id", "agent_id", "workflow_id", "m.*"
@@ -219,8 +219,8 @@ def offload_files(spark: SparkSession, root: str, files: DataFrame) -> DataFrame
     if held.isEmpty():
         read = spark.createDataFrame([], "file string, content binary, length long")
     else:
-        read = only(spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/tool-results/*"), held)
-        read = read.select(_decoded(F.col("_metadata.file_path")).alias("file"), "content", "length")
+        read = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*/tool-results/*")
+        read = only(read, held, _decoded(F.col("_metadata.file_path")).alias("file"), "content", "length")
     held = held.select("file", "session_id", "name")
     text = F.col("content").cast("string")
     return read.join(held, "file").select(

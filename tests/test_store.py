@@ -307,7 +307,7 @@ def test_only_due_files_are_opened(spark, tmp_path, monkeypatch):
         for most, opened in ((1, 0), (100, 2)):
             monkeypatch.setattr(discover, "MOST_PATHS", most)
             monkeypatch.setattr(discover, "PATHS_AT_ONCE", 1)
-            read = discover.only(base, due)
+            read = discover.only(base, due, "value")
             assert read.count() == 2
             if not opened:
                 continue
@@ -318,7 +318,9 @@ def test_only_due_files_are_opened(spark, tmp_path, monkeypatch):
             assert sum(scans) == opened
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
-    monkeypatch.setattr(discover, "MOST_PATHS", 100)
+    for most in (1, 100):
+        monkeypatch.setattr(discover, "MOST_PATHS", most)
+        assert {r.line_no for r in numbered_lines(spark, str(root), files=due).collect()} == {1}
     assert {r.file.split("/")[-1] for r in numbered_lines(spark, str(root), files=due).collect()} == {
         "s 3%[a].jsonl", "s 7%[a].jsonl"}
     assert numbered_lines(spark, str(root), files=due.limit(0)).collect() == []
