@@ -32,17 +32,16 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sessionlake.llm.common import fingerprint, fresh, id_and_text, quoted, slices
+from sessionlake.llm.common import fresh, id_and_text, quoted, slices
 from sessionlake.session import keep
 
 UNIT, NESTED, MIN_WORDS = "sentence", "nested", 6
-#: Bytes that tell texts under one id apart, written with every unit.
-MARK_BYTES = 8
 
 #: What parts two units.
 CUTS = {
@@ -125,30 +124,34 @@ def apart(spans: list[dict]) -> list[dict]:
     return out
 
 
+def told_apart() -> Column:
+    """Tells texts under one id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, fp, digest, start, end) of every unit that may go, written once."""
-    docs = id_and_text(docs)
+    """(doc_id, fp, high, low, start, end) of every unit that may go, written once; `high` and `low` are
+    the halves of its digest."""
+    docs = id_and_text(docs).withColumn("fp", told_apart())
     schema = T.StructType(
         [
-            docs.schema["doc_id"], T.StructField("fp", T.BinaryType()),
-            T.StructField("digest", T.BinaryType()),
+            docs.schema["doc_id"], *(T.StructField(c, T.LongType()) for c in ("fp", "high", "low")),
             T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            row, prints, digests, starts, ends = [], [], [], [], []
-            for k, text in enumerate(batch.column("text")):
-                own = hashlib.md5(text.as_buffer()).digest()[:MARK_BYTES]
-                own_units = nested_of(text.as_py(), min_words) if unit == NESTED else units_of(text.as_py(), unit, min_words)
+            row, digests, starts, ends = [], [], [], []
+            for k, text in enumerate(batch.column("text").to_pylist()):
+                own_units = nested_of(text, min_words) if unit == NESTED else units_of(text, unit, min_words)
                 for digest, start, end in own_units:
-                    row.append(k), prints.append(own), digests.append(digest)
-                    starts.append(start), ends.append(end)
+                    row.append(k), digests.append(digest), starts.append(start), ends.append(end)
+            halves, rows = np.frombuffer(b"".join(digests), "<i8"), pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(prints, pa.binary()),
-                    pa.array(digests, pa.binary()),
+                    batch.column("doc_id").take(rows), batch.column("fp").take(rows),
+                    pa.array(halves[::2]), pa.array(halves[1::2]),
                     pa.array(starts, pa.int32()), pa.array(ends, pa.int32()),
                 ],
                 schema.names,
@@ -159,17 +162,16 @@ def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> Data
 
 def repeated(found: DataFrame) -> DataFrame:
     """(doc_id, fp, start, end, first_id) of the units that go; `first_id` has the one that stays."""
-    # The mark is an expression in the join, so it is not shuffled beside the digest.
-    own = F.xxhash64("digest")
-    marks = found.groupBy(own.alias("mark")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    found = keep(found.join(marks, own == F.col("mark"), "left_semi"), "likely")
+    marks = found.groupBy(F.col("high").alias("mark")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
+    # Read by both sides below from one exchange, so all columns are asked for on both.
+    found = found.join(marks, F.col("high") == F.col("mark"), "left_semi")
     void = F.col("doc_id").isNull().alias("void")
-    place = F.struct(void, "doc_id", "fp", "start")
+    place = F.struct(void, "doc_id", "fp", "start", "end")
     # Rows that are one document several times must not make their units look repeated.
-    firsts = found.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last"))
-    firsts = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("digest", "first")
+    firsts = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("high", "low", "first")
     return (
-        found.join(firsts, "digest")
+        found.join(firsts, ["high", "low"])
         .where(~place.eqNullSafe(F.col("first")))
         .select("doc_id", "fp", "start", "end", F.col("first.doc_id").alias("first_id"))
     )
@@ -199,7 +201,7 @@ def without_repeats(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORD
         spans = spans.mapInArrow(flattened, spans.schema)
     spans = spans.withColumnsRenamed({"doc_id": "gone_id", "fp": "gone_fp"})
     mark, own = fresh(docs, "fp"), docs.columns
-    marked = docs.withColumn(mark, F.substring(fingerprint(F.col("text")), 1, MARK_BYTES))
+    marked = docs.withColumn(mark, told_apart())
     same = (marked[mark] == spans["gone_fp"]) & marked["doc_id"].eqNullSafe(spans["gone_id"])
 
     @F.arrow_udf("string")
