@@ -11,8 +11,10 @@ largest weight plus Gumbel noise are kept, which samples without replacement by
 expected number of target documents, the sum of their chances. The noise is a hash of the document
 and the seed, so a run repeats itself.
 
-Labels are used up to `most_labels` rows, those with the least hash of their id; a third of them is
-for the fit. Everything else reads every document.
+A third of the labels is held out for the fit, up to `most_labels` rows, those with the least hash of
+their id. The target model counts all other labelled good documents, however many there are, and
+everything else reads every document. The ratios alone do not do: toxic passages in otherwise good
+texts weigh little in their sum, which is why the fit also sees what falls below the floors.
 
 Null text counts as empty; a document without words has no evidence for it and is never kept. Rows
 that repeat have the same key and are kept or rejected together; so are all that tie at the last
@@ -37,7 +39,7 @@ from sessionlake.session import keep
 
 BITS, BLOCK = 20, 1 << 12
 FLOORS = (0.7, 1.5)
-MOST_LABELS = 40_000
+MOST_LABELS = 15_000
 TRAITS = 4 * len(FLOORS) + 2
 #: Partial sums of the counts are first added in this many groups, so no task reads all of them.
 SPREAD = 64
@@ -58,15 +60,18 @@ def grams(values: pa.Array) -> tuple[np.ndarray, np.ndarray, int, np.ndarray]:
     )
 
 
-def sampled_labels(labels: DataFrame, most: int, seed: int) -> DataFrame:
-    """(label_id, good, fold) of at most `most` documents; fold 0 is held out for the fit."""
-    rank = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    return (
-        labels.select("doc_id", "quality", "toxic").dropna()
-        .groupBy("doc_id").agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good"))
-        .orderBy(rank, "doc_id").limit(most)
-        .select(F.col("doc_id").alias("label_id"), "good", F.pmod(rank, F.lit(3)).cast("int").alias("fold"))
+def split_labels(labels: DataFrame, most: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(label_id, good) of the at most `most` documents held out for the fit, and (label_id) of the good
+    ones that make the target."""
+    rank = F.xxhash64(F.lit(seed), F.col("label_id"))
+    marks = (
+        labels.select("doc_id", "quality", "toxic").dropna().groupBy(F.col("doc_id").alias("label_id"))
+        .agg(((F.min("quality") == 1) & (F.max("toxic") == 0)).alias("good"))
     )
+    third = marks.where(F.pmod(rank, F.lit(3)) == 0)
+    held = keep(third.orderBy(rank, "label_id").limit(most), "held-out")
+    others = marks.where("good").join(F.broadcast(held), "label_id", "left_anti")  # of `most` rows at most
+    return held, keep(others.select("label_id"), "target")
 
 
 def _sum(group: pa.Table) -> pa.Table:
@@ -218,13 +223,12 @@ def _salted(docs: DataFrame, seed: int) -> tuple:
 def resample(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS, seed: int = 17) -> tuple[DataFrame, Sampler]:
     """(doc_id, weight, key, kept) of every document, and the sampler that decides so."""
     spark = small_batches(docs).sparkSession
-    marks = keep(sampled_labels(labels, most_labels, seed), "labels")
-    known = F.broadcast(marks)  # at most `most_labels` rows of an id and two small numbers
+    known, chosen = split_labels(labels, most_labels, seed)
     text, salt = _salted(docs, seed)
     read = docs.select(F.col("doc_id").alias("doc_id"), text, salt)
-    joined = read.join(known, read["doc_id"] == known["label_id"], "left")
-    in_target = F.coalesce(F.col("good") & (F.col("fold") > 0), F.lit(False)).alias("in_target")
-    ratios = log_ratios(*counted(joined.select("text", in_target)))
+    # Sent to every executor only where Spark finds it small.
+    joined = read.join(chosen, read["doc_id"] == chosen["label_id"], "left")
+    ratios = log_ratios(*counted(joined.select("text", F.col("label_id").isNotNull().alias("in_target"))))
     shared = spark.sparkContext.broadcast(ratios)
     schema = T.StructType(
         [
@@ -246,7 +250,7 @@ def resample(docs: DataFrame, labels: DataFrame, most_labels: int = MOST_LABELS,
             )
 
     seen = keep(read.mapInArrow(run, schema), "traits")
-    held = seen.join(known, seen["doc_id"] == known["label_id"]).where("fold = 0 and words > 0")
+    held = seen.join(F.broadcast(known), seen["doc_id"] == known["label_id"]).where("words > 0")
     held = held.groupBy("label_id").agg(F.first("traits").alias("traits"), F.first("good").alias("good")).collect()
     good = np.array([r.good for r in held], float)
     fit = None
