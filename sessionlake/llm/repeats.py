@@ -163,10 +163,10 @@ def units(docs: DataFrame, unit: str = UNIT, min_words: int = MIN_WORDS) -> Data
 def repeated(found: DataFrame) -> DataFrame:
     """(doc_id, fp, start, end, first_id) of the units that go; `first_id` has the one that stays."""
     marks = found.groupBy(F.col("high").alias("mark")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mark")
-    # Read by both sides below from one exchange, so all columns are asked for on both.
-    found = found.join(marks, F.col("high") == F.col("mark"), "left_semi")
+    # Written, so that the exchange of all units can go before the rest begins.
+    found = keep(found.join(marks, F.col("high") == F.col("mark"), "left_semi"), "likely")
     void = F.col("doc_id").isNull().alias("void")
-    place = F.struct(void, "doc_id", "fp", "start", "end")
+    place = F.struct(void, "doc_id", "fp", "start")
     # Rows that are one document several times must not make their units look repeated.
     firsts = found.groupBy("high", "low").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     firsts = firsts.where(~F.col("first").eqNullSafe(F.col("last"))).select("high", "low", "first")
