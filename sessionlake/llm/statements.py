@@ -116,4 +116,91 @@ SELECT doc_id, n_features::BIGINT AS n_features, weight::BIGINT AS weight, (weig
 FROM placed
 """
 
-SQL: dict[str, str] = {"op11_reduced_alphabet": _SPELLING, "op13_target_resampling": _RESAMPLING}
+_LEAKS = f"""
+WITH listed AS (
+    SELECT row_number() OVER () AS r, doc_id,
+        regexp_extract_all({FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w,
+        regexp_extract_all(' ' || coalesce(text, ''), '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS gaps
+    FROM documents),
+items AS (
+    SELECT item_id::VARCHAR AS name,
+        regexp_extract_all({FOLD.format('text')}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
+    FROM benchmark),
+sought AS (
+    SELECT DISTINCT name, size, array_to_string(w[k + 1 : k + size], ' ') AS said
+    FROM (SELECT name, w, least(len(w), 10) AS size, unnest(range(greatest(len(w) - 9, 1))) AS k FROM items WHERE len(w) > 0)),
+spots AS (
+    SELECT r, w, size, unnest(range(len(w) - size + 1)) AS k
+    FROM listed, (SELECT DISTINCT size FROM sought) WHERE len(w) >= size),
+met AS (
+    SELECT r, k, size, name
+    FROM (SELECT r, k, size, array_to_string(w[k + 1 : k + size], ' ') AS said FROM spots) JOIN sought USING (size, said)),
+hit AS (SELECT DISTINCT r, unnest(range(k + 1, k + size + 1)) AS p FROM met),
+stretch AS (
+    SELECT r, min(p) AS low, max(p) AS high
+    FROM (SELECT r, p, p - row_number() OVER (PARTITION BY r ORDER BY p) AS island FROM hit) GROUP BY r, island),
+placed AS (
+    SELECT r, high - low + 1 AS n,
+        coalesce(list_sum(list_transform(gaps[1 : low], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(w[1 : low - 1], lambda x: length(x))), 0) - 1 AS starts,
+        coalesce(list_sum(list_transform(gaps[1 : high], lambda x: length(x))), 0)
+            + coalesce(list_sum(list_transform(w[1 : high], lambda x: length(x))), 0) - 1 AS ends
+    FROM stretch JOIN listed USING (r)),
+told AS (
+    SELECT r, sum(n) AS n_hit, string_agg(starts::BIGINT || ':' || ends::BIGINT, ',' ORDER BY starts) AS hit_spans
+    FROM placed GROUP BY r),
+named AS (
+    SELECT r, count(DISTINCT name) AS n_items, string_agg(DISTINCT name, ',' ORDER BY name) AS names
+    FROM met GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(hit_spans, '') AS hit_spans
+FROM listed LEFT JOIN told USING (r) LEFT JOIN named USING (r)
+"""
+
+_LINES = f"""
+WITH listed AS (
+    SELECT row_number() OVER () AS r, doc_id, source, text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w, string_split(text, chr(10)) AS ls
+    FROM documents),
+cut AS (
+    SELECT r, source, text, k, ls[k + 1] AS line, len(ls) = k + 1 AS is_last
+    FROM (SELECT r, source, text, ls, unnest(range(len(ls))) AS k FROM listed)),
+lines AS (
+    SELECT r, source, text, k, n, line || CASE WHEN is_last THEN '' ELSE chr(10) END AS piece,
+        {FOLD.format("array_to_string(lw, ' ')")} AS said, row_number() OVER (PARTITION BY r, line ORDER BY k) > 1 AS again,
+        sum(length(line) + 1) OVER (PARTITION BY r ORDER BY k) - length(line) - 1 AS starts
+    FROM (SELECT *, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') AS lw, len(lw) AS n FROM cut)),
+common AS (
+    SELECT source, said FROM (SELECT DISTINCT source, said, text FROM lines WHERE n > 0)
+    GROUP BY source, said HAVING count(*) > 10),
+marked AS (
+    SELECT l.*, c.said IS NOT NULL AS goes
+    FROM lines l LEFT JOIN common c ON l.n > 0 AND c.said = l.said AND c.source IS NOT DISTINCT FROM l.source),
+told AS (
+    SELECT r, count(*) FILTER (n > 0 AND again) AS n_dup_lines, coalesce(sum(n) FILTER (goes), 0) AS lost,
+        coalesce(string_agg(starts::BIGINT || ':' || (starts + length(piece))::BIGINT, ',' ORDER BY k) FILTER (goes), '') AS removed,
+        coalesce(string_agg(piece, '' ORDER BY k) FILTER (NOT goes), '') AS clean
+    FROM marked GROUP BY r),
+spots AS (
+    SELECT r, k, array_to_string(w[k + 1 : k + 8], ' ') AS said
+    FROM (SELECT r, w, unnest(range(len(w) - 7)) AS k FROM listed WHERE len(w) > 7)),
+twice AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, said) AS n FROM spots) WHERE n > 1),
+covered AS (
+    SELECT r, count(*) AS n FROM (SELECT DISTINCT r, unnest(range(k, k + 8)) FROM twice) GROUP BY r),
+measures AS (
+    SELECT r, doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+        length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+        coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words,
+        coalesce(lost, 0)::BIGINT AS n_boilerplate_words, coalesce(removed, '') AS removed,
+        CASE WHEN text IS NOT NULL THEN clean END AS text
+    FROM listed LEFT JOIN told USING (r) LEFT JOIN covered c USING (r))
+SELECT * EXCLUDE (r), n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words)
+        AND n_words - n_boilerplate_words >= 0.3::DOUBLE * n_words AS kept
+FROM measures
+"""
+
+SQL: dict[str, str] = {
+    "op5_line_frequency": _LINES,
+    "op6_benchmark_windows": _LEAKS, "op11_reduced_alphabet": _SPELLING, "op13_target_resampling": _RESAMPLING,
+}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sessionlake.llm import hilbert, importance, leaks, near, private, repeats, rules
-from sessionlake.llm.queries import QUERIES
+from sessionlake.llm.queries import QUERIES, SQL
 from tests.llm import brute
 
 
@@ -355,3 +355,15 @@ def test_brackets_are_read_once():
     text = "see http://[" + ":" * 400_000 + " and ssh://[::1.2.3.4] or http://[fe80::1]/ or x://[1.2:3]"
     assert [text[a:b] for kind, a, b in private.find(text) if kind == "ip6"] == ["[::1.2.3.4]", "[fe80::1]"]
     assert time.perf_counter() - begun < 5
+
+
+@pytest.mark.parametrize("name", ["op5_line_frequency", "op6_benchmark_windows"])
+def test_sql_gives_the_same(spark, folder, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    found = QUERIES[name](spark, folder)
+    rows = con.sql(f"SELECT {', '.join(found.columns)} FROM ({SQL[name]})").fetchall()
+    assert sorted(map(str, rows)) == sorted(str(tuple(r)) for r in found.collect())
