@@ -190,12 +190,18 @@ def outdated(t: Tables) -> DataFrame:
     )
 
 
+def plan_rejects(t: Tables) -> DataFrame:
+    """(session_id, rule, detail): the runs `plan` can never ask, as each waits for itself."""
+    return rounds(t)[1]
+
+
 def plan(
     t: Tables, model: str, failed: DataFrame | None = None, limit: int | None = None
 ) -> DataFrame:
     """What a pass would ask now, in order: the stale items and every item that embeds one.
 
-    Runs go leaves first, then turns, then sessions. What embeds a failed item waits.
+    Runs go leaves first, then turns, then sessions. What embeds a failed item waits. Runs that lie
+    above themselves are rows of `plan_rejects`.
     """
     every = stamped(
         reduce(

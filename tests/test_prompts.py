@@ -7,8 +7,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sessionlake.enrich import items
 from sessionlake.enrich.items import TURN, Budgets, Draft, cap, duration, tail
-from sessionlake.enrich.prompts import elision, rendered, validated
+from sessionlake.enrich.prompts import elision, plan_rejects, rendered, validated
 
 
 def by_hand(head: str, lines: list[str], budget: int) -> str:
@@ -88,3 +89,16 @@ def test_answers_are_judged(spark):
         "none": "invalid_output", "word": "invalid_output", "type": "invalid_output",
         "leak": "secret_shape", "bad": "invalid_output",
     }
+
+
+def test_runs_in_a_ring_are_told(spark, monkeypatch):
+    links = [("a", "b"), ("b", "a"), ("below", "a"), ("own", "own"), ("root", None), ("child", "root")]
+    runs = spark.createDataFrame([("s", r, p) for r, p in links], "session_id string, run_id string, parent_run string")
+
+    class Held:
+        def live(self, name):
+            return runs.select("session_id", F.col("run_id").alias("id"))
+
+    monkeypatch.setattr(items, "run_links", lambda t: runs)
+    assert sorted((r.session_id, r.detail) for r in plan_rejects(Held()).collect()) == [("s", "a"), ("s", "b"), ("s", "own")]
+    assert {r.run_id: r.round for r in items.rounds(Held())[0].collect()} == {"below": 0, "root": 1, "child": 0}
